@@ -27,8 +27,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(rows, table(spark, sf_dir, "relation_catalog"))
 
 
+def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct names of persons and organisations in the three fields."""
+    kg, l4 = table(spark, sf_dir, "kg_inferred"), table(spark, sf_dir, L4)
+    cells = [kg.select(F.col(f"{x}.type").alias("kind"), F.col(f"{x}.label").alias("label")) for x in ("subject", "object")]
+    cells.append(l4.select(F.col("source_candidate_type").alias("kind"), F.col("source_candidate_label").alias("label")))
+    rows = cells[0].unionByName(cells[1]).unionByName(cells[2])
+    return rows.where("kind in ('person', 'organisation') and trim(label) <> ''").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one person or organisation."""
+    from lodeweave.llm.names import same_entity_pairs
+
+    return same_entity_pairs(entity_names(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p5_found": p5_found,
 }
 
 ORACLE_SQL: dict[str, str] = {}

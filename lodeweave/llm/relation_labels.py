@@ -128,7 +128,7 @@ def map_labels(labels: DataFrame, catalog: DataFrame, block: int = BLOCK) -> Dat
     what each block finds is brought together by label. Null and empty labels give -1.
     """
     entries = catalog.select("canon_id", "canon_label", "canon_label_fr")
-    n = rows_up_to(entries, block)
+    n, shuffles = rows_up_to(entries, block), int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n is None:
         n_blocks = entries.count() // block + 2
         parts = [entries.where(F.pmod(F.xxhash64("canon_id"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
@@ -147,7 +147,7 @@ def map_labels(labels: DataFrame, catalog: DataFrame, block: int = BLOCK) -> Dat
                     out.append((label, canon, ranked[0][0] if ranked else None))
                 yield pd.DataFrame(out, columns=["label", "canon_id", "cost"])
 
-        one = labels.select("label").mapInPandas(search, "label string, canon_id bigint, cost double")
+        one = labels.select("label").repartition(shuffles, "label").mapInPandas(search, "label string, canon_id bigint, cost double")
         found = one if found is None else found.unionByName(one)
     if len(parts) == 1:
         return found
