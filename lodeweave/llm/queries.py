@@ -27,6 +27,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(rows, table(spark, sf_dir, "relation_catalog"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples exported again in another spelling, each with the earliest row of its group."""
+    from lodeweave.llm.ledger import copies
+
+    return copies(table(spark, sf_dir, "kg_inferred"))
+
+
+def p2_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct triple once, by its earliest row, with the number of its copies."""
+    from lodeweave.llm.ledger import build_ledger, triple_keys
+
+    return build_ledger(triple_keys(table(spark, sf_dir, "kg_inferred"))).read().select("keep_row_id", "copies")
+
+
 def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct names of persons and organisations in the three fields."""
     kg, l4 = table(spark, sf_dir, "kg_inferred"), table(spark, sf_dir, L4)
@@ -43,9 +57,85 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_entity_pairs(entity_names(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each group of repeated triples, the row that each field of the survivor comes from."""
+    from lodeweave.llm.survivor import choose
+
+    return choose(*(table(spark, sf_dir, t) for t in ("kg_inferred", L5, "export_sources")))
+
+
+def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving records."""
+    from lodeweave.llm.survivor import survivors
+
+    return survivors(*(table(spark, sf_dir, t) for t in ("kg_inferred", L5, "export_sources")))
+
+
+def export_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Justifications of kg_inferred and snippets of layer 5, one per row."""
+    kg = table(spark, sf_dir, "kg_inferred").select(F.lit("kg_inferred").alias("tbl"), "row_id", F.lit(-1).alias("ev_pos"), "source_code", F.col("justification").alias("text"))
+    l5 = table(spark, sf_dir, L5).select("row_id", "source_code", F.posexplode("provenance").alias("ev_pos", "e"))
+    return kg.unionByName(l5.select(F.lit(L5).alias("tbl"), "row_id", "ev_pos", "source_code", F.col("e.snippet").alias("text")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Justifications and snippets that were cut off."""
+    from lodeweave.llm.truncation import find_truncated
+
+    return find_truncated(export_texts(spark, sf_dir)).drop("source_code")
+
+
+def p7_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts texts off."""
+    from lodeweave.llm.truncation import find_truncated
+
+    texts = export_texts(spark, sf_dir).where("trim(text) <> ''")
+    n = texts.groupBy("tbl", "source_code").agg(F.count("*").alias("n_texts"))
+    bad = find_truncated(texts).groupBy("tbl", "source_code").agg(F.count("*").alias("n_cut"))
+    return n.join(bad, ["tbl", "source_code"], "left").select("tbl", "source_code", "n_texts", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), F.round(F.coalesce("n_cut", F.lit(0)) / F.col("n_texts"), 6).alias("share"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_ledger": p2_ledger,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_survivors": p6_survivors,
+    "p7_found": p7_found,
+    "p7_by_source": p7_by_source,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _label_key(x: str) -> str:
+    """The key of a label in SQL; overlapping runs between digits need two passes."""
+    mark = f"regexp_replace(lower({x}), '([\\p{{N}}])[^\\p{{L}}\\p{{N}}]+([\\p{{N}}])', '\\1\x02\\2', 'g')"
+    again = f"regexp_replace({mark}, '([\\p{{N}}])[^\\p{{L}}\\p{{N}}\x02]+([\\p{{N}}])', '\\1\x02\\2', 'g')"
+    return f"regexp_replace({again}, '[^\\p{{L}}\\p{{N}}\x02]', '', 'g')"
+
+
+_GROUPS = f"""
+WITH k AS (
+  SELECT row_id, doc_id, {_label_key('subject.label')} AS s, {_label_key('predicate.label')} AS p, {_label_key('object.label')} AS o,
+    CASE WHEN metadata IS NOT NULL THEN list_sort([x || '=' || json_extract(metadata, '$."' || x || '"')::VARCHAR FOR x IN json_keys(metadata)])::VARCHAR END AS m
+  FROM kg_inferred WHERE subject.label IS NOT NULL AND predicate.label IS NOT NULL AND object.label IS NOT NULL),
+g AS (SELECT *, min(row_id) OVER (PARTITION BY doc_id, s, p, o, m) AS keep_row_id FROM k)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p2_found": _GROUPS + "SELECT keep_row_id, row_id AS copy_row_id FROM g WHERE row_id <> keep_row_id",
+    "p6_found": _GROUPS
+    + f"""
+, m AS (SELECT keep_row_id, k.* FROM (SELECT keep_row_id, row_id, count(*) OVER (PARTITION BY keep_row_id) AS c FROM g) JOIN kg_inferred k USING (row_id) WHERE c > 1),
+c AS (SELECT keep_row_id, row_id, row_number() OVER (PARTITION BY keep_row_id ORDER BY trust_rank ASC NULLS LAST, exported_at DESC NULLS LAST, row_id) AS r
+  FROM m LEFT JOIN export_sources USING (source_code) WHERE confidence IS NOT NULL AND NOT isnan(confidence) AND confidence <> -1),
+j AS (SELECT keep_row_id, row_id, row_number() OVER (PARTITION BY keep_row_id ORDER BY length(trim(justification)) DESC, exported_at DESC NULLS LAST, row_id) AS r
+  FROM m WHERE length(trim(justification)) >= 20),
+l AS (SELECT run_id, triple_id, row_id, created_at, list_max([length(e.snippet) FOR e IN provenance IF trim(e.snippet) <> '']) AS n FROM {L5}),
+s AS (SELECT keep_row_id, l.row_id, row_number() OVER (PARTITION BY keep_row_id ORDER BY n DESC, created_at DESC NULLS LAST, l.row_id) AS r
+  FROM (SELECT DISTINCT keep_row_id, run_id, triple_id FROM m) JOIN l USING (run_id, triple_id) WHERE n > 0)
+SELECT keep_row_id, 'confidence' AS field, row_id AS from_row_id FROM c WHERE r = 1
+UNION ALL SELECT keep_row_id, 'justification', row_id FROM j WHERE r = 1
+UNION ALL SELECT keep_row_id, 'snippet', row_id FROM s WHERE r = 1""",
+    "p2_ledger": _GROUPS + "SELECT keep_row_id, count(*)::BIGINT AS copies FROM g GROUP BY 1",
+}
