@@ -6,7 +6,8 @@ word. The vocabulary's words and all their prefixes form a trie, kept as a table
 so it grows with the cluster and not with a task. A text without a sentence's end is cut off if
 
 * it ends in an ellipsis mark or in half a character,
-* its last word is unknown and a proper prefix of known words,
+* its last word is unknown and a proper prefix of known words, or, after the word before it, a
+  proper prefix of a word known there,
 * its length is the one at which its source's unended texts pile up (length evidence), or
 * sentences that begin like its last one go on after its last words, as a rule.
 
@@ -36,9 +37,14 @@ PILE, LEAST_LIMIT = 0.15, 60
 
 
 def tokens(text: str) -> list[str]:
+    """Words in lower case, numbers as #, and marks; a full stop before a small letter is a mark like a comma."""
     out = []
-    for t in TOKEN.findall(text):
-        if t[0].isdigit():
+    for m in TOKEN.finditer(text):
+        t = m[0]
+        if t in STOPS:
+            rest = text[m.end() : m.end() + 4].lstrip()
+            out.append("," if rest[:1].islower() else t)
+        elif t[0].isdigit():
             out.append("#)" if t[-1] == ")" else "#")
         else:
             out.append(t.lower())
@@ -152,14 +158,20 @@ def find_truncated(texts: DataFrame) -> DataFrame:
         .join(vocabulary, "word", "left")
         .join(prefix_trie(vocabulary).withColumn("is_prefix", F.lit(True)), F.col("word") == F.col("prefix"), "left")
     )
+    pairs = two.where("word not like '#%' and before <> '^'").select("before", F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(word, 1, i))")).alias("word"), F.col("word").alias("whole"))
+    begun = pairs.where("word <> whole").select("before", "word").distinct().withColumn("begun", F.lit(True))
+    known = known.join(begun, ["before", "word"], "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     goes_on = lambda on, end: n(on) > n(end)
+    # a form that never has a full stop ("Heading 5: ...") is complete where many of its texts end
     unknown = (n("w_on") + n("w_end") == 0) & F.coalesce(F.col("is_prefix"), F.lit(False))
     verdict = (
-        F.when(unknown, True)
+        F.when(unknown | (n("t_on") + n("t_end") == 0) & F.coalesce("begun", F.lit(False)), True)
+        .when((n("g_end") == 0) & (n("g_open") >= 5), n("goes_on") > 4 * F.col("open"))
         .when(n("goes_on") + n("ends") >= 2, goes_on("goes_on", "ends"))
-        .when((n("t_on") + n("t_end") == 0) & (n("t_open") >= 5) & (n("w_on") + n("w_end") == 0), False)
-        .when(n("b_on") + n("b_end") >= 3, goes_on("b_on", "b_end"))
+        .when((n("t_on") + n("t_end") == 0) & (n("t_open") >= 5) & (n("n_begins") >= 3), False)
+        .when((n("b_on") + n("b_end") >= 3) & ~F.col("word").startswith("#"), goes_on("b_on", "b_end"))
+        .when((n("t_on") >= 20) & (n("t_end") < 0.01 * n("t_on")) & ((n("g_end") > 0) | (n("g_open") < 5)), True)
         .when(n("g_end") < 0.25 * n("g_open"), False)
         .when(n("t_on") + n("t_end") >= 2, goes_on("t_on", "t_end"))
         .when(n("w_on") + n("w_end") > 0, goes_on("w_on", "w_end"))
