@@ -95,6 +95,13 @@ def p7_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(bad, ["tbl", "source_code"], "left").select("tbl", "source_code", "n_texts", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), F.round(F.coalesce("n_cut", F.lit(0)) / F.col("n_texts"), 6).alias("share"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item, whole or in part."""
+    from lodeweave.llm.leakage import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -104,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_survivors": p6_survivors,
     "p7_found": p7_found,
     "p7_by_source": p7_by_source,
+    "p8_found": p8_found,
 }
 
 
