@@ -102,6 +102,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject areas of each document."""
+    from lodeweave.llm.subject_areas import assign
+
+    return assign(*(table(spark, sf_dir, t) for t in ("documents", "area_labels", "subject_areas"))).select("doc_id", "area_code")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_by_source": p7_by_source,
     "p8_found": p8_found,
+    "p10_found": p10_found,
 }
 
 
