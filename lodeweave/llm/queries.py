@@ -109,6 +109,20 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(*(table(spark, sf_dir, t) for t in ("documents", "area_labels", "subject_areas"))).select("doc_id", "area_code")
 
 
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source in the mixture."""
+    from lodeweave.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: which document is taken in which pass over its source."""
+    from lodeweave.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -119,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_by_source": p7_by_source,
     "p8_found": p8_found,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
 
