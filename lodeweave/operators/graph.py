@@ -60,7 +60,7 @@ def levels(edges: DataFrame, root: str, rounds: int = 100) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """``(node, out_degree, in_degree, degree)``."""
-    ends = edges.select(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("target").alias("node"), F.lit(0), F.lit(1)))
+    ends = edges.select(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ends.where("node is not null").groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count("*").alias("degree"))
 
 

@@ -82,7 +82,7 @@ def assertions_to_triples(assertions: DataFrame, order: list, by: list[str] | No
         *by, F.col("source_candidate_id").alias("subject_id"), F.col("source_candidate_label").alias("subject_label"), F.col("source_candidate_type").alias("subject_type"),
         F.col("relation_candidate_id").alias("predicate_id"), F.col("relation_label").alias("predicate_label"),
         F.col("target_candidate_id").alias("object_id"), F.col("target_candidate_label").alias("object_label"), F.col("target_candidate_type").alias("object_type"),
-        "chunk_id", "justification", "confidence", F.col("evidence").alias("provenance"), *[c for c in order if isinstance(c, str) and c not in by],
+        "chunk_id", "justification", "confidence", F.col("evidence").alias("provenance"), *[c for c in order if isinstance(c, str) and c not in (*by, "chunk_id", "confidence", "justification")],
     )
     once = keep_first(t, [*by, "subject_id", "predicate_id", "object_id", "chunk_id"], order)
     return dense_id(once, "triple_id", "triple_", order, by)
