@@ -146,7 +146,7 @@ _TOK = "list_distinct([w FOR w IN string_split({0}, ' ') IF w <> ''])"
 _TRI = "CASE WHEN length({0}) = 0 THEN []::VARCHAR[] ELSE list_distinct([substr({0}, i, 3) FOR i IN generate_series(1, greatest(length({0}) - 2, 1))]) END"
 _GRAMS = r"""
 WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents WHERE text IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest(list_concat(w, [a || ' ' || b FOR a, b IN list_zip(w[:-2], w[2:])])) AS g FROM w)
+g AS (SELECT DISTINCT doc_id, unnest(list_concat(w, [z[1] || ' ' || z[2] FOR z IN list_zip(w[:-2], w[2:])])) AS g FROM w)
 """
 _SECRETS = " OR ".join(f"regexp_matches(text, '{p}')" for p in C.SECRETS)
 
