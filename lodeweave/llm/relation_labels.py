@@ -152,7 +152,7 @@ def map_labels(labels: DataFrame, catalog: DataFrame, block: int = BLOCK) -> Dat
     if len(parts) == 1:
         return found
     best = found.groupBy("label").agg(F.min("cost").alias("cost"))
-    near = found.withColumnRenamed("cost", "c").join(best, "label").where(F.col("c").isNull() | (F.col("c") < F.col("cost") + 0.2))
+    near = found.withColumnRenamed("cost", "c").join(best, "label").where(F.col("cost").isNull() | (F.col("c") < F.col("cost") + 0.2))
     return near.groupBy("label").agg(
         F.when(F.count_distinct("canon_id") == 1, F.min("canon_id")).otherwise(F.lit(-1)).cast("bigint").alias("canon_id"),
         F.first("cost").alias("cost"),
