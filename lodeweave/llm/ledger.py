@@ -15,7 +15,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.session import remove, salted_join, scratch
+from lodeweave.session import cut, remove, salted_join, scratch
 
 
 def label_key(label: Column) -> Column:
@@ -114,8 +114,12 @@ def triple_keys(kg: DataFrame) -> DataFrame:
     return rows.select("row_id", digest(F.col("doc_id").cast("string"), *[label_key(x) for x in labels], object_key(F.col("metadata"))).alias("key"))
 
 
-def build_ledger(keys: DataFrame, batches: int = 2, path: str | None = None, buckets: int = 64) -> Ledger:
-    """A ledger of ``keys(row_id, key)``, merged in batches in order of arrival."""
+def build_ledger(keys: DataFrame, batches: int = 2, path: str | None = None, buckets: int = 16) -> Ledger:
+    """A ledger of ``keys(row_id, key)``, merged in batches in order of arrival.
+
+    Buckets are folders that a small batch can leave alone, not units of work; a task writes one file per
+    bucket, so take more of them for larger ledgers only.
+    """
     spark = keys.sparkSession
     ledger = Ledger(spark, path or scratch(spark, "ledger"), buckets)
     low, high = keys.agg(F.min("row_id"), F.max("row_id")).first()
@@ -133,7 +137,7 @@ def copies(kg: DataFrame, batches: int = 2) -> DataFrame:
     The rows join the ledger's keys that have copies; the join is salted, as one key may hold a
     third of all rows. Rows with a null label belong to no group.
     """
-    keys = triple_keys(kg)
+    keys = cut(triple_keys(kg))  # read by every batch and by the join
     groups = build_ledger(keys, batches).read().where("copies > 1").select("key", "keep_row_id")
     joined = salted_join(keys, groups, ["key"], F.col("row_id"))
     return joined.where("row_id <> keep_row_id").select("keep_row_id", F.col("row_id").alias("copy_row_id"))
