@@ -176,3 +176,20 @@ def two_hop(triples: DataFrame, first: str, second: str, to: str) -> DataFrame:
     b = triples.where(F.col("relation") == second).select(F.col("head").alias("x"), "tail")
     out = a.join(b, "x").where("head <> tail").select("head", F.lit(to).alias("relation"), "tail").distinct()
     return out.join(triples.select("head", "relation", "tail").distinct(), ["head", "relation", "tail"], "left_anti")
+
+
+def node_table(candidates: DataFrame, triples: DataFrame) -> DataFrame:
+    """``(case, label, type, origin)``: candidates first, then nodes that only triples have; one per case and lower-case label."""
+    from lodeweave.operators.keys import keep_first
+
+    c = candidates.select("case", "label", "type", F.lit(0).alias("rank"), "ord")
+    ends = [triples.select("case", F.col(f"{s}_label").alias("label"), F.col(f"{s}_type").alias("type"), F.lit(1).alias("rank"), "ord") for s in ("subject", "object")]
+    every = c.unionByName(ends[0]).unionByName(ends[1]).where("trim(label) <> ''")
+    once = keep_first(every, ["case", F.lower(F.trim("label"))], ["rank", "ord", "label"])
+    return once.select("case", "label", "type", F.when(F.col("rank") == 0, "candidate").otherwise("triple").alias("origin"))
+
+
+def case_summary(triples: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes, relations, predicates and mean confidence of each case; confidences that are no numbers do not count."""
+    t = triples.groupBy("case").agg(F.count("*").alias("relations"), F.count_distinct("predicate_label").alias("predicates"), F.round(F.avg(F.expr("try_cast(confidence as double)")), 4).alias("avg_confidence"))
+    return nodes.groupBy("case").agg(F.count("*").alias("nodes")).join(t, "case", "full_outer")

@@ -329,3 +329,9 @@ def dataset_scores(gold: DataFrame, predictions: DataFrame, keys: list[str], poo
     """Exact scores of a dataset; documents without a prediction count with none. ``pooled`` ignores documents."""
     use = [k for k in keys if not (pooled and k == "doc_id")]
     return exact_prf(predictions, gold, use)
+
+
+def select_weak(triples: DataFrame, grounding: DataFrame, confidence: float = 0.6, score: float = 0.5) -> DataFrame:
+    """Triples for a judge: those with a low confidence, a low grounding score or none."""
+    j = triples.join(grounding.select("id", F.col("score").alias("_g")), "id", "left")
+    return j.where((F.coalesce("confidence", F.lit(0.0)) < confidence) | (F.coalesce("_g", F.lit(0.0)) < score)).drop("_g")

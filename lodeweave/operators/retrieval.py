@@ -128,3 +128,15 @@ def offline_source(lookup: DataFrame) -> Callable[[DataFrame], DataFrame]:
         return hits.select("query", F.col("source").alias("kind"), F.col("text").alias("label"), F.lit(1.0).alias("score"), F.row_number().over(w).alias("pos"))
 
     return ask
+
+
+def alias_enrichment(items: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Items with the sorted union of their aliases and those of every key that occurs in their label as a word.
+
+    ``items(id, label, aliases)``, ``aliases(key, aliases)`` with keys of one word.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("label"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    hits = items.select("id", F.explode(words).alias("k")).join(aliases.select(F.lower("key").alias("k"), F.col("aliases").alias("more")), "k")
+    extra = hits.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("more"))
+    none = F.array().cast("array<string>")
+    return items.join(extra, "id", "left").withColumn("aliases", F.array_sort(F.array_union(F.coalesce("aliases", none), F.coalesce("more", none)))).drop("more")

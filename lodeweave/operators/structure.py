@@ -190,3 +190,45 @@ def cell_texts(html: Column) -> Column:
     """The texts of a table's cells in order, without markup."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
     return F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", " "), r"\s+", " "))), lambda x: x != "")
+
+
+def clean_blocks(blocks: DataFrame) -> DataFrame:
+    """Text blocks cleaned, tables reduced to the texts of their cells; blocks with nothing left are dropped."""
+    from lodeweave.functions.cleaning import clean_native
+
+    text = F.when(F.col("type") == "text", clean_native(F.col("text"))).otherwise(F.col("text"))
+    flat = F.when(F.col("type") == "table", F.array_join(cell_texts(F.col("html")), " "))
+    out = blocks.withColumn("text", text).withColumn("html_text", F.coalesce(flat, F.col("html_text")))
+    return out.where(F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.nullif(F.trim("html_text"), F.lit(""))).isNotNull())
+
+
+def strip_title(blocks: DataFrame) -> DataFrame:
+    """A first line that repeats the block's title, apart from case and punctuation, is dropped."""
+    from lodeweave.functions.normalizers import compare_key
+
+    first = F.substring_index(F.ltrim("text"), "\n", 1)
+    same = (compare_key(first) == compare_key(F.coalesce("title", F.lit("")))) & (compare_key(first) != "")
+    rest = F.ltrim(F.ltrim(F.col("text")).substr(F.length(first) + 2, F.length("text")))
+    return blocks.withColumn("text", F.when(same, rest).otherwise(F.col("text")))
+
+
+def sections(blocks: DataFrame) -> DataFrame:
+    """``(doc_id, document_key, section_key, title, n_blocks, text)``: the blocks of a section in order; sections without text are pruned."""
+    row = F.array_sort(F.collect_list(F.when(F.trim(F.coalesce("text", "html_text", F.lit(""))) != "", F.struct("order", F.coalesce("text", "html_text").alias("t")))))
+    out = blocks.groupBy("doc_id", "document_key", "section_key").agg(F.min_by("title", "order").alias("title"), F.count("*").alias("n_blocks"), F.array_join(F.transform(row, lambda x: x["t"]), "\n\n").alias("text"))
+    return out.where("text <> ''")
+
+
+def table_titles(tables: DataFrame) -> DataFrame:
+    """Adds ``title``: the table's caption, else the line above it if it is short, else its first header cell."""
+    caption = F.nullif(F.trim(F.regexp_extract("html", r"(?is)<caption[^>]*>(.*?)</caption>", 1)), F.lit(""))
+    above = F.when(F.length(F.trim("line_above")) <= 120, F.nullif(F.trim("line_above"), F.lit("")))
+    header = F.try_element_at(F.regexp_extract_all("html", F.lit(r"(?is)<th[^>]*>(.*?)</th>"), F.lit(1)), F.lit(1))
+    return tables.withColumn("title", F.coalesce(caption, above, F.nullif(F.trim(header), F.lit(""))))
+
+
+def match_contents(headings_: DataFrame, contents: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """Headings with the entry of the table of contents most like them: ``contents(label, ord)``."""
+    from lodeweave.operators.matching import best_match
+
+    return best_match(headings_.select(clean_heading(F.col("heading")).alias("label")), contents, threshold)
