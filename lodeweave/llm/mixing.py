@@ -95,16 +95,19 @@ def count_tokens(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_
     return documents.select("doc_id", "source", "text").mapInPandas(count, f"doc_id {kind}, source string, n_tokens bigint")
 
 
-def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, blocks: int = 256, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, blocks: int | None = None, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> tuple[DataFrame, DataFrame]:
     """The mixture ``(source, pass, doc_id, n_tokens)`` and the report of shares.
 
     The report has a row for each source of either table: tokens there are, target and actual share,
-    and how often it is repeated (1.5: once and a half).
+    and how often it is repeated (1.5: once and a half). Unless ``blocks`` is given, a block of a source
+    holds about 20,000 documents at most, since the block in which the budget ends is ordered by one task.
     """
     spark = documents.sparkSession
     counted = cut(count_tokens(documents, tokenizer))
     named = counted.where("source is not null and n_tokens > 0")
-    tokens = {r[0]: int(r[1]) for r in named.groupBy("source").agg(F.sum("n_tokens")).collect()}  # one row per source
+    per_source = named.groupBy("source").agg(F.sum("n_tokens"), F.count("*")).collect()  # one row per source
+    tokens = {r[0]: int(r[1]) for r in per_source}
+    blocks = blocks or max(256, max((r[2] for r in per_source), default=0) // 20_000)
     wanted = {r[0]: (r[1], r[2]) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share"), F.max("max_repeats")).collect()}
     weights, total, _ = plan(tokens, wanted, budget)
     shares = spark.createDataFrame([(s, int(w * total)) for s, w in weights.items()], "source string, share_tokens bigint")
