@@ -65,9 +65,9 @@ def contexts(toks: list[str]) -> Iterator[tuple[str, str, str, int]]:
         begin = " ".join(words[:2])
         before = words[-2] if len(words) > 1 else "^"
         after = toks[i + 1] if i + 1 < n else None
-        if after is None:
-            yield begin, before, t, 2
-        elif after in STOPS and not (len(t) == 1 and t.isalpha()) and t != "no" and (i + 2 >= n or toks[i + 2] != "#"):
+        if after is None or i + 2 >= n and (len(after) > 1 and after[0] == "." or after[0] == "…"):
+            yield begin, before, t, 2  # nothing is known of a word before an ellipsis mark either
+        elif after in STOPS and (i + 2 >= n or not (len(t) == 1 and t.isalpha()) and t != "no" and toks[i + 2] != "#"):
             yield begin, before, t, 1
             words = []
         else:
