@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions.cleaning import clean_native
 from lodeweave.operators import chunking, extraction, ontology, triples, validation
+from lodeweave.session import cut
 
 
 @dataclass(frozen=True)
@@ -23,8 +24,10 @@ def from_documents(docs: DataFrame, lexicon: DataFrame, settings: Settings = Set
 
     Terms met in one chunk become neighbours in the order of their first places, each linked to the next.
     """
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.repartition(tasks) if docs.rdd.getNumPartitions() < tasks else docs  # a few large files would clean in a few tasks
     cleaned = docs.where("text is not null").select("doc_id", clean_native(F.col("text")).alias("text"))
-    chunks = chunking.fixed_chunks(cleaned, "text", settings.size, settings.overlap).drop("text")
+    chunks = cut(chunking.fixed_chunks(cleaned, "text", settings.size, settings.overlap).drop("text"))  # read twice below
     found = extraction.lexicon_expressions(chunks, lexicon)
     found = found.withColumn("ord", F.struct("doc_start_char", "chunk_id", "text"))
     mentions = found.select("doc_id", F.lit("entity").alias("candidate_type"), F.col("text").alias("label"), F.lit(1.0).alias("confidence"), "ord", F.concat_ws("/", "chunk_id", "text").alias("expr_id"))
