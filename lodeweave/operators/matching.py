@@ -68,25 +68,106 @@ def blocked_pairs(pred: DataFrame, gold: DataFrame, by: list[str], label: str =
     return keys(pred, "pred").join(keys(gold, "gold"), [*by, "_b"]).drop("_b").distinct()
 
 
-def greedy(edges: DataFrame, left: str, right: str, by: list[str], order: list[Column], rounds: int = 50) -> DataFrame:
-    """One-to-one matching that takes the best edge first.
+#: A group with at most so many edges and members is matched in one task; a larger one in rounds, with the same result.
+SMALL_GROUP = 50_000
+
+
+def _sequential(edges: list, lefts: list, rights: list) -> list[tuple]:
+    """The matches ``(left_id, right_id, edge)`` of one group, edge by edge in the order of ``greedy_classes``."""
+    ids: dict[tuple, list] = {}
+    for side, members in ((0, lefts), (1, rights)):
+        for m in sorted(members, key=lambda m: m["id"], reverse=True):
+            ids.setdefault((side, m["c"]), []).append(m["id"])  # the next one is last
+    levels: dict[tuple, dict] = {}
+    for e, x in enumerate(edges):
+        levels.setdefault(tuple(x["level"]), {}).setdefault(x["l"], []).append((x["r"], e))
+    out = []
+    for level in sorted(levels):
+        near = levels[level]
+        for i, l in sorted((i, l) for l in near for i in ids.get((0, l), ())):  # noqa: E741
+            free = [(ids[1, r][-1], r, e) for r, e in near[l] if ids.get((1, r))]
+            if free:
+                j, r, e = min(free)
+                ids[0, l].pop()
+                ids[1, r].pop()
+                out.append((i, j, e))
+    return out
+
 
-    Every edge that is the best of both its ends is taken at once, its ends are removed, and so on: with
-    a strict total order this is the sequential result. Rounds end when no edge is left (few are needed).
-    ``order`` must be total; lineage is cut by a checkpoint each round.
+def _rounds(edges: DataFrame, lefts: DataFrame, rights: DataFrame, by: list[str]) -> DataFrame:
+    """As ``_sequential`` for groups of any size: rounds until no edge is left.
+
+    The pair of classes whose first free members are each other's best takes as many members at once as
+    come before the first free member of any other class with an equal claim.
+    """
+    n_of = lambda k: Window.partitionBy(*by, "c").orderBy(k)
+    sides = {}
+    for s, df in (("l", lefts), ("r", rights)):
+        ranked = cut(df.withColumn("k", F.row_number().over(n_of("id"))).withColumnsRenamed({"c": s, "id": f"{s}_id", "k": f"{s}_k"}))
+        sides[s] = (ranked, cut(ranked.groupBy(*by, s).agg(F.lit(0).cast("long").alias(f"{s}_used"), F.count("*").alias(f"{s}_n"), F.min(f"{s}_id").alias(f"{s}_head"))))
+    runs, left = None, cut(edges)
+    while left.limit(1).count():
+        e = left.join(sides["l"][1], [*by, "l"]).join(sides["r"][1], [*by, "r"])
+        for s, other in (("l", "r"), ("r", "l")):
+            w = Window.partitionBy(*by, s).orderBy("level", f"{other}_head", other)
+            rival = F.lead(F.struct("level", F.col(f"{other}_head").alias("h"))).over(w)
+            e = e.withColumn(f"{s}_first", F.row_number().over(w)).withColumn(f"{other}_bound", F.when(rival["level"] == F.col("level"), rival["h"]))
+        now = cut(e.where("l_first = 1 and r_first = 1"))
+        many = now
+        for s in ("l", "r"):
+            before = now.where(f"{s}_bound is not null").select(*by, s, f"{s}_used", f"{s}_bound").join(sides[s][0], [*by, s]).where(f"{s}_k > {s}_used and {s}_id < {s}_bound")
+            many = many.join(before.groupBy(*by, s).agg(F.count("*").alias(f"{s}_many")), [*by, s], "left")
+        rest = [F.coalesce(F.col(f"{s}_many"), F.col(f"{s}_n") - F.col(f"{s}_used")) for s in ("l", "r")]
+        taken = cut(many.withColumn("len", F.greatest(F.least(*rest), F.lit(1))).select(*by, "l", "r", "edge", "l_used", "r_used", "len"))
+        runs = taken if runs is None else runs.unionByName(taken)
+        for s in ("l", "r"):
+            ranked, state = sides[s]
+            moved = state.join(taken.select(*by, s, "len"), [*by, s]).withColumn(f"{s}_used", F.col(f"{s}_used") + F.col("len")).drop("len", f"{s}_head")
+            moved = moved.join(ranked.select(*by, s, (F.col(f"{s}_k") - 1).alias(f"{s}_used"), F.col(f"{s}_id").alias(f"{s}_head")), [*by, s, f"{s}_used"])  # used-up classes end here
+            sides[s] = (ranked, cut(state.join(taken.select(*by, s), [*by, s], "left_anti").unionByName(moved)))
+        for s in ("l", "r"):
+            left = left.join(sides[s][1].select(*by, s), [*by, s], "left_semi")
+        left = cut(left)
+    if runs is None:
+        runs = edges.select(*by, "l", "r", "edge", F.lit(0).cast("long").alias("l_used"), F.lit(0).cast("long").alias("r_used"), F.lit(0).cast("long").alias("len")).limit(0)
+    each = runs.where("len > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("len"))).alias("i")).withColumn("l_k", F.col("l_used") + F.col("i")).withColumn("r_k", F.col("r_used") + F.col("i"))
+    return each.join(sides["l"][0], [*by, "l", "l_k"]).join(sides["r"][0], [*by, "r", "r_k"]).select(*by, "l_id", "r_id", "edge")
+
+
+def greedy_classes(edges: DataFrame, lefts: DataFrame, rights: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """One-to-one matching of members of classes that takes the best edge first: ``(by, l_id, r_id, the edge's other columns)``.
+
+    ``edges(by, l, r, ..)`` are between classes of members that score alike, ``lefts(by, c, id)`` and
+    ``rights(by, c, id)`` are the members, so n copies on both sides are one edge and not n * n. The result
+    is that of going through all edges of members sorted by ``order``, left id, right id. ``order`` must be numeric.
     """
-    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(left).alias("l"), F.col(right).alias("r"))
-    left_edges = cut(edges.withColumn("_rank", rank))
-    taken = None
-    for _ in range(rounds):
-        best_l = left_edges.groupBy(*by, left).agg(F.min("_rank").alias("_bl"))
-        best_r = left_edges.groupBy(*by, right).agg(F.min("_rank").alias("_br"))
-        now = cut(left_edges.join(best_l, [*by, left]).join(best_r, [*by, right]).where("_rank = _bl and _rank = _br").drop("_bl", "_br"))
-        taken = now if taken is None else taken.unionByName(now)
-        left_edges = cut(left_edges.join(now.select(*by, left), [*by, left], "left_anti").join(now.select(*by, right), [*by, right], "left_anti"))
-        if not left_edges.limit(1).count():
-            break
-    return taken.drop("_rank")
+    rest = [c for c in edges.columns if c not in (*by, "l", "r")]
+    e = cut(edges.select(*by, "l", "r", F.array(*[o.cast("double") for o in order]).alias("level"), F.struct(*rest).alias("edge")))
+    ends = {"l": cut(lefts.join(e.select(*by, F.col("l").alias("c")).distinct(), [*by, "c"], "left_semi")), "r": cut(rights.join(e.select(*by, F.col("r").alias("c")).distinct(), [*by, "c"], "left_semi"))}
+    size = e.select(*by).unionByName(ends["l"].select(*by)).unionByName(ends["r"].select(*by)).groupBy(*by).agg(F.count("*").alias("n"))
+    large = cut(size.where(F.col("n") > SMALL_GROUP).select(*by))
+    some = bool(large.limit(1).count())
+    part = lambda df, how: df.join(large, by, how) if some else df
+    lists = lambda df, name, *c: part(df, "left_anti").groupBy(*by).agg(F.collect_list(F.struct(*c)).alias(name))
+    groups = lists(e, "es", "level", "l", "r", "edge").join(lists(ends["l"], "ls", "c", "id"), by).join(lists(ends["r"], "rs", "c", "id"), by)
+    kind = lambda s: ends[s].schema["id"].dataType.simpleString()
+    solve = F.udf(_sequential, f"array<struct<l_id:{kind('l')},r_id:{kind('r')},e:int>>")
+    bare = F.transform("es", lambda x: F.struct(x["level"].alias("level"), x["l"].alias("l"), x["r"].alias("r")))
+    found = groups.select(*by, "es", F.explode(solve(bare, "ls", "rs")).alias("m")).select(*by, "m.l_id", "m.r_id", F.col("es")[F.col("m.e")]["edge"].alias("edge"))
+    if some:
+        found = found.unionByName(_rounds(part(e, "left_semi"), part(ends["l"], "left_semi"), part(ends["r"], "left_semi"), by))
+    return found.select(*by, "l_id", "r_id", "edge.*")
+
+
+def greedy(edges: DataFrame, left: str, right: str, by: list[str], order: list[Column]) -> DataFrame:
+    """One-to-one matching that takes the best edge first; ties go to the first left, then right end.
+
+    The result is that of going through the edges sorted by ``order``; no edge is left at the end.
+    """
+    rest = [c for c in edges.columns if c not in (*by, left, right)]
+    e = edges.withColumnsRenamed({left: "l", right: "r"})
+    ends = [e.select(*by, F.col(s).alias("c"), F.col(s).alias("id")).distinct() for s in ("l", "r")]
+    return greedy_classes(e, *ends, by, order).select(*by, F.col("r_id").alias(right), F.col("l_id").alias(left), *rest)
 
 
 def greedy_entities(pred: DataFrame, gold: DataFrame, profile: Profile = GENERAL, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -111,11 +192,21 @@ def triple_pairs(pred: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
 
 
 def greedy_triples(pred: DataFrame, gold: DataFrame, profile: Profile = GENERAL, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Matched triples ``(id, head, relation, tail)`` of each group: equal relation, both ends similar enough."""
-    pairs = triple_pairs(pred, gold, list(by))
+    """Matched triples ``(id, head, relation, tail)`` of each group: equal relation, both ends similar enough.
+
+    Copies are one class each, so only different triples of a relation are compared.
+    """
+    by = [*by, "rel"]
+    text = lambda c: F.coalesce(N.evaluation(F.col(c)), F.lit(""))
+    named = lambda df: df.select(*by[:-1], F.upper(N.evaluation(F.col("relation"))).alias("rel"), "id", text("head").alias("head"), text("tail").alias("tail")).withColumn("c", F.concat_ws("\n", "head", "tail"))
+    p, g = named(pred), named(gold)
+    classes = lambda df, c, s: df.select(*by, F.col("c").alias(c), F.col("head").alias(f"{s}_head"), F.col("tail").alias(f"{s}_tail")).distinct()
+    pairs = classes(p, "l", "pred").join(classes(g, "r", "gold"), by)
+    scored = pairs.withColumn("head_score", S.token_set_udf("pred_head", "gold_head")).withColumn("tail_score", S.token_set_udf("pred_tail", "gold_tail"))
     tail = F.when(F.col("rel") == "REQUIRES", profile.tail_requires).otherwise(profile.tail)
-    good = pairs.where((F.col("head_score") >= profile.head) & (F.col("tail_score") >= tail)).withColumn("score", 0.5 * F.col("head_score") + 0.5 * F.col("tail_score"))
-    return greedy(good, "pred_id", "gold_id", [*by], [-F.col("score"), -F.col("head_score"), -F.col("tail_score")])
+    good = scored.where((F.col("head_score") >= profile.head) & (F.col("tail_score") >= tail)).withColumn("score", 0.5 * F.col("head_score") + 0.5 * F.col("tail_score"))
+    found = greedy_classes(good, p.select(*by, "c", "id"), g.select(*by, "c", "id"), by, [-F.col("score"), -F.col("head_score"), -F.col("tail_score")])
+    return found.withColumnsRenamed({"l_id": "pred_id", "r_id": "gold_id"})
 
 
 def swapped(df: DataFrame) -> DataFrame:
