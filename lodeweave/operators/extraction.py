@@ -27,17 +27,34 @@ def snippet(text: Column, start: Column, length: Column, around: int = 80) -> Co
     return F.when(start >= 0, F.trim(text.substr((begin + 1).cast("int"), (start + length + around - begin).cast("int")))).otherwise("")
 
 
+def words(text: Column) -> Column:
+    """The words of a text in lower case, in order."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def word_grams(w: Column, lengths: list[int]) -> Column:
+    """The distinct runs of so many words, joined by a blank; ``w`` should be a column, as it is read often."""
+    none = F.array().cast("array<string>")
+    runs = [F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(none) for n in lengths]
+    return F.array_distinct(F.concat(none, *runs))
+
+
+def word_lengths(terms: DataFrame, gram: str) -> list[int]:
+    """The numbers of words that terms have; a few, as they are distinct."""
+    n = F.size(F.split(gram, " "))
+    return sorted(r[0] for r in terms.where(F.col(gram) != "").select(n).distinct().collect())
+
+
 def lexicon_expressions(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Entries of a lexicon met in chunks, with evidence; the model-free extractor.
 
-    ``chunks(doc_id, chunk_id, chunk, start_char)`` and ``lexicon(term, label)``. A chunk's words and word
-    pairs are joined with the terms by equality, so no text is compared with every term; terms are one
-    or two words.
+    ``chunks(doc_id, chunk_id, chunk, start_char)`` and ``lexicon(term, label)``. A chunk's runs of words, of
+    the lengths that terms have, are joined with the terms' words by equality, so no text is compared with
+    every term.
     """
-    words = F.filter(F.split(F.lower("chunk"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = chunks.withColumn("w", words).withColumn("term", F.explode(F.array_distinct(F.concat("w", pairs)))).drop("w")
-    hits = grams.join(lexicon.select(F.lower(F.trim("term")).alias("term"), "label").distinct(), "term")
+    terms = lexicon.select(F.lower(F.trim("term")).alias("term"), F.array_join(words(F.trim("term")), " ").alias("g"), "label").distinct()
+    grams = chunks.withColumn("w", words(F.col("chunk"))).withColumn("g", F.explode(word_grams(F.col("w"), word_lengths(terms, "g")))).drop("w")
+    hits = grams.join(terms, "g").drop("g")
     at = locate(F.col("chunk"), F.col("term"))
     return hits.select(
         "doc_id", "chunk_id", F.col("term").alias("text"), "label", at.alias("chunk_start_char"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import similarity as S
+from lodeweave.operators.extraction import word_grams, word_lengths, words
 from lodeweave.operators.triples import top_per_group
 
 
@@ -64,12 +65,10 @@ def artifact_space(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFram
 
 
 def taxonomy_hits(docs: DataFrame, taxonomy: DataFrame, most: int = 40) -> DataFrame:
-    """``(doc_id, label)``: taxonomy labels of one or two words found in a text, at most ``most`` per document by the alphabet (the operator's limit)."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    n = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat("w", pairs))).alias("g"))
-    hits = grams.join(taxonomy.select("label", F.lower(F.trim("label")).alias("g")).distinct(), "g").select("doc_id", "label")
+    """``(doc_id, label)``: taxonomy labels whose words, any number of them, follow each other in a text; at most ``most`` per document by the alphabet (the operator's limit)."""
+    labels = taxonomy.select("label", F.array_join(words(F.col("label")), " ").alias("g")).distinct()
+    grams = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(word_grams(F.col("w"), word_lengths(labels, "g"))).alias("g"))
+    hits = grams.join(labels, "g").select("doc_id", "label")
     return top_per_group(hits, ["doc_id"], ["label"], most)
 
 
