@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -59,12 +61,45 @@ def entity_score(pred: str, gold: str, profile: Profile = GENERAL) -> float:
     return S.strict(pred, gold)
 
 
-def blocked_pairs(pred: DataFrame, gold: DataFrame, by: list[str], label: str = "label") -> DataFrame:
-    """Pairs of rows of one group that share a word or a beginning of three letters; no cross join.
+def near_keys(text: str, least: float) -> list[str]:
+    """Keys of a text of which it shares one with every text whose ``ratio`` with it is ``least`` (0 to 1) or more.
 
-    For thresholds above about 60 a pair without either cannot pass; below that use ``within_group``.
+    Texts of together n letters, m of them in common order, share 3m - 1 - n neighbouring letters, that is
+    (1.5 least - 1) n - 1, so it is enough to meet on a prefix of these pairs in a fixed order. Where that is
+    no pair at all (short texts, low thresholds), they meet on single letters.
     """
-    keys = lambda df, s: df.withColumn("_b", F.explode(F.array_distinct(F.concat(N.tokens(N.evaluation(F.col(label))), F.array(F.substring(N.evaluation(F.col(label)), 1, 3)))))).select(*by, "_b", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in by])
+    share, n = 1.5 * least - 1, len(text)
+    keys = [f"1{ch}" for ch in sorted(set(text))] if share <= 0 or n * share <= 1 else []
+    if share > 0 and n > 1:
+        seen: dict[str, int] = {}
+        grams = []
+        for i in range(n - 1):
+            g = text[i : i + 2]
+            seen[g] = seen.get(g, 0) + 1
+            grams.append((zlib.crc32(g.encode()), g, seen[g]))
+        common = max(1, math.ceil(share * (n + n * least / (2 - least)) - 1 - 1e-9))
+        keys += [f"2{g}{k}" for _, g, k in sorted(grams)[: len(grams) - common + 1]]
+    return keys
+
+
+def _keys(least: float, in_order: bool):
+    """Words and ``near_keys`` of normalized labels, in the order of their words or in the alphabet's."""
+
+    @F.pandas_udf("array<string>")
+    def over(labels: pd.Series) -> pd.Series:
+        every = lambda t, w: [f"w{x}" for x in w] + near_keys(t if in_order else " ".join(w), least)
+        return pd.Series([every(x or "", sorted(set((x or "").split()))) for x in labels], dtype="object")
+
+    return over
+
+
+def blocked_pairs(pred: DataFrame, gold: DataFrame, by: list[str], threshold: float, label: str = "label") -> DataFrame:
+    """Pairs of rows of one group, among them all whose ``token_set_ratio`` is at least ``threshold`` (0 to 100); no cross join.
+
+    Such labels share a word or, having none in common, are near enough for a common key of ``near_keys``.
+    """
+    key = _keys(threshold / 100, False)
+    keys = lambda df, s: df.withColumn("_b", F.explode(key(N.evaluation(F.col(label))))).select(*by, "_b", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in by])
     return keys(pred, "pred").join(keys(gold, "gold"), [*by, "_b"]).drop("_b").distinct()
 
 
@@ -174,7 +209,7 @@ def greedy_entities(pred: DataFrame, gold: DataFrame, profile: Profile = GENERAL
     """``(by, pred_label, gold_label, score)``: matched entities of each group; each label once, blank ones never."""
     by = list(by)
     labels = lambda df: df.select(*by, F.trim("label").alias("label")).where("label <> ''").distinct()
-    pairs = blocked_pairs(labels(pred), labels(gold), by)
+    pairs = blocked_pairs(labels(pred), labels(gold), by, profile.entity)
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -241,13 +276,14 @@ def first_fit(pairs: DataFrame, by: list[str]) -> DataFrame:
 def best_match(left: DataFrame, right: DataFrame, threshold: float = 0.75) -> DataFrame:
     """``(label, match, score)``: the entry nearest to each label, exact ones first; ties go to the first entry.
 
-    ``right(label, ord)``. Exact labels are joined by equality; the rest meet on a shared word or beginning.
+    ``right(label, ord)``. Exact labels are joined by equality; the rest meet on a shared word or a key of ``near_keys``.
     """
     l = left.select("label", N.evaluation(F.col("label")).alias("n")).distinct()  # noqa: E741
     r = right.select(F.col("label").alias("match"), "ord", N.evaluation(F.col("label")).alias("rn"))
     exact = l.join(r, F.col("n") == F.col("rn")).groupBy("label").agg(F.min_by("match", "ord").alias("match")).withColumn("score", F.lit(1.0))
     rest = l.join(exact, "label", "left_anti")
-    key = lambda c: F.explode(F.array_distinct(F.concat(N.tokens(F.col(c)), F.array(F.substring(c, 1, 3)))))
+    keys = _keys(threshold, True)
+    key = lambda c: F.explode(keys(F.col(c)))
     pairs = rest.withColumn("b", key("n")).join(r.withColumn("b", key("rn")), "b").select("label", "n", "match", "rn", "ord").distinct()
     scored = pairs.withColumn("score", F.greatest(S.matcher_udf("n", "rn"), S.jaccard(F.col("n"), F.col("rn")))).where(F.col("score") >= threshold)
     near = scored.groupBy("label").agg(F.max_by("match", F.struct("score", -F.col("ord"))).alias("match"), F.max("score").alias("score"))

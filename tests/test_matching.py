@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodeweave.functions import similarity
 from lodeweave.operators import matching
 
 
@@ -37,3 +38,24 @@ def test_classes_equal_sequential(spark, monkeypatch, small):
     sides = [spark.createDataFrame([(0, c, i) for i, c in m.items()], "doc int, c int, id int") for m in (pc, gc)]
     got = matching.greedy_classes(e, *sides, ["doc"], [-F.col("s")])
     assert {(r["l_id"], r["r_id"]) for r in got.collect()} == want
+
+
+def test_slip_in_the_first_letters(spark, collect):
+    p = spark.createDataFrame([(1, "conpressor"), (2, "conpressor")], "doc_id int, label string")
+    g = spark.createDataFrame([(1, "compressor"), (1, "valve")], "doc_id int, label string")
+    assert [(r["pred_label"], r["gold_label"], r["score"]) for r in matching.greedy_entities(p, g).collect()] == [("conpressor", "compressor", 90.0)]
+    entries = spark.createDataFrame([("compressor", 0), ("valve", 1)], "label string, ord int")
+    assert [(r["label"], r["match"]) for r in matching.best_match(p.select("label"), entries).collect()] == [("conpressor", "compressor")]
+
+
+def test_near_keys_lose_no_pair():
+    rnd = random.Random(3)
+    for least in (0.6, 0.7, 0.75, 0.8, 0.85, 0.92):
+        for _ in range(8000):
+            a = "".join(rnd.choice("abc d") for _ in range(rnd.randrange(1, 14)))
+            b = list(a)
+            for _ in range(rnd.randrange(4)):
+                b[rnd.randrange(len(b))] = rnd.choice(["", "x", "a", "yb"])
+            b = "".join(b)
+            if b and similarity.ratio(a, b) >= 100 * least:
+                assert set(matching.near_keys(a, least)) & set(matching.near_keys(b, least)), (a, b, least)
