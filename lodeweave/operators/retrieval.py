@@ -55,12 +55,18 @@ def ontology_space(queries: DataFrame, classes: DataFrame, properties: DataFrame
 def artifact_space(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     """Concepts, relations and triples with the query's text in them: ``items(kind, text, ord)``, k per query.
 
-    The text is looked up by its first word, so no query meets every item.
+    A query is looked up by that one of its trigrams (or itself, if it is shorter) which the fewest items
+    have, so no query meets every item; it may lie anywhere, also within words.
     """
-    word = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    q = queries.select("query", F.try_element_at(word(F.col("query")), F.lit(1)).alias("w")).where("w is not null")
-    i = items.select("kind", "text", "ord", F.explode(F.array_distinct(word(F.col("text")))).alias("w"))
-    hits = q.join(i, "w").where(F.contains(F.lower("text"), F.lower("query"))).drop("w")
+    q = queries.where("query <> ''").select("query", F.lower("query").alias("low"))
+    sizes = sorted(r[0] for r in q.select(F.least(F.length("low"), F.lit(3))).distinct().collect())  # at most 1, 2, 3
+    grams = lambda c, ns: F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[S.trigrams(F.col(c), n) for n in ns])))
+    own = q.withColumn("g", grams("low", [3]))
+    i = items.select("kind", "text", "ord", F.lower("text").alias("lower")).withColumn("g", grams("lower", sizes))
+    seen = i.join(own.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
+    rarest = own.join(seen, "g", "left").groupBy("query", "low").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), F.col("g"))).alias("g"))
+    met = q.join(rarest, ["query", "low"])  # a query asked twice is answered twice
+    hits = met.join(i, "g").where(F.contains("lower", "low")).select("query", "kind", "text", "ord")
     return top_per_group(hits, ["query"], ["ord", "kind", "text"], k)
 
 

@@ -10,3 +10,10 @@ def test_labels_of_any_length(spark, collect):
     got = extraction.lexicon_expressions(chunks, tax.selectExpr("label AS term", "'x' AS label"))
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted((d, t.lower()) for d, t in want)
     assert min(r["doc_start_char"] for r in got.collect()) > 0
+
+
+def test_query_within_words(spark, collect):
+    items = spark.createDataFrame([("concept", "blown Fuses", 1), ("relation", "gearbox drives", 2), ("triple", "a b", 3)], "kind string, text string, ord int")
+    q = spark.createDataFrame([("fuse",), ("box DRIVE",), ("ox",), ("b",), ("nothing",)], "query string")
+    got = sorted((r["query"], r["ord"]) for r in retrieval.artifact_space(q, items).collect())
+    assert got == [("b", 1), ("b", 2), ("b", 3), ("box DRIVE", 2), ("fuse", 1), ("ox", 2)]
