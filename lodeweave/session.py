@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests,
-    one machine) a folder of our own is used.
+    A cluster names it in ``spark.checkpoint.dir``; only on one machine (``local[...]``, as in tests) and
+    where that is unset a folder of our own is used. A cluster without the setting is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = getattr(spark.sparkContext, "_lodeweave_dir", None)
     if own is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="lodeweave-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext._lodeweave_dir = own
@@ -37,10 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, eager: bool = True, loop: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    ``loop``: also forget what the planner has derived of the rows (constraints, partitioning); a checkpoint
+    keeps that, and in a loop it multiplies with every round until planning takes longer than the work.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    out = df.checkpoint(eager=eager)
+    if not loop:
+        return out
+    jdf = out._jdf
+    return DataFrame(jdf.sparkSession().internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), df.sparkSession)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
