@@ -1,14 +1,19 @@
 """Variant spellings of person and organisation names, linked.
 
-1. Each distinct name becomes a vector of character trigrams weighted by rarity.
-2. A sparse cosine join finds candidate pairs. A pair meets on one of the trigrams that a vector
-   cannot do without at the threshold (prefix filter), so no pair over it is missed, nothing is
-   capped, and frequent trigrams make no pairs. There is no top-n cut unless ``top_n`` is given.
-3. A comparison of the parts (initials, nicknames, clipped words, one slip of the keyboard)
-   scores each candidate; different given names or fields of business score 0.
-4. Names with all their parts are clustered by average linkage within the connected components of
-   the scored pairs; names with a part missing ("Mr. X", "X & Co") join the one cluster they fit
-   and stay alone if they fit several.
+1. Each distinct name becomes a vector of character trigrams (and initials) weighted by rarity.
+2. A sparse cosine join finds all pairs over a threshold. Two names meet on a trigram only if what
+   their vectors hold from it on can still reach the threshold (prefix and positional filter), so no
+   pair over it is missed and nothing is capped; frequent trigrams make few pairs, and one that is
+   frequent nonetheless is split over tasks. There is no top-n cut unless ``top_n`` is given.
+3. An exact check drops pairs whose parts contradict each other: other given names, other fields of
+   business, other legal forms.
+4. Average linkage over the cosines, a pair below the threshold or dropped counting as 0, in rounds:
+   all pairs of clusters that are each other's nearest are merged at once, which gives the same
+   clusters as one merge at a time, as average linkage is reducible. Every step is a join or an
+   aggregate over the edges, whatever the size of a group. Names with a part missing ("Mr. X",
+   "X & Co") join the one cluster they fit by their mean cosine and stay alone if they fit several.
+
+Null and blank labels are no names. Equal labels count once. Labels of any length are read whole.
 """
 
 from __future__ import annotations
@@ -17,11 +22,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.operators.components import connected_components
 from lodeweave.session import cut
 
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "ing", "dipl", "mme", "mlle", "herr", "frau", "sir"}
@@ -31,18 +36,40 @@ LEGAL = {
     "ag": "ag", "bv": "bv", "co": "co", "company": "co", "corp": "corp", "corporation": "corp", "gmbh": "gmbh", "inc": "inc", "kg": "kg",
     "limited": "ltd", "llc": "llc", "ltd": "ltd", "plc": "plc", "sa": "sa", "sarl": "sarl", "sas": "sas", "spa": "spa", "srl": "srl",
 }
-#: Short forms of given names in common use.
-SHORT = {
-    "alex": "alexander", "sascha": "alexander", "sasha": "alexander", "sandy": "alexander", "toni": "antoinette", "netti": "antoinette", "nettie": "antoinette",
-    "ben": "benedikt", "bene": "benedikt", "celi": "celine", "chris": "christophe", "kit": "christophe", "dagi": "dagmar", "lisa": "elisabeth",
-    "liesl": "elisabeth", "betty": "elisabeth", "elsa": "elisabeth", "ferdi": "ferdinand", "nando": "ferdinand", "fran": "francesca", "franzi": "francesca",
-    "cesca": "francesca", "gabi": "gabriela", "gaby": "gabriela", "hannes": "johannes", "hans": "johannes", "jo": "joelle", "josie": "josephine",
-    "fifi": "josephine", "kati": "katarina", "katja": "katarina", "kathi": "katarina", "leo": "leonhard", "hardy": "leonhard", "mila": "ludmila",
-    "luda": "ludmila", "greta": "margarete", "grete": "margarete", "gretel": "margarete", "max": "maximilian", "maxi": "maximilian", "klaus": "nikolaus",
-    "niko": "nikolaus", "nick": "nikolaus", "bob": "robert", "rob": "robert", "robbie": "robert", "bastien": "sebastien", "seb": "sebastien", "dora": "theodora",
-    "thea": "theodora", "uli": "ulrike", "ulli": "ulrike", "rike": "ulrike", "bill": "william", "will": "william", "willi": "william", "willy": "william",
-    "yvi": "yvonne",
-}
+#: Short forms of given names in common use in English, German and French, by the names they stand for.
+#: ``cluster_names`` takes another table of the same form.
+NICKNAMES = """
+abby: abigail; alex: alexander alexandra; andy: andrew andreas; annie: anne anna; antje: anna; babs: barbara; bastian: sebastian; bastien: sebastien; becky: rebecca; ben: benjamin benedikt;
+bene: benedikt; bernie: bernard bernhard; bert: albert robert herbert; berti: albert hubert; betty: elisabeth elizabeth; bill: william; billy: william; bob: robert; bobby: robert;
+celi: celine; cesca: francesca; charlie: charles charlotte; chris: christopher christophe christian christine; claus: nikolaus nicolas; dagi: dagmar; dan: daniel; dave: david; dick: richard; dora: theodora dorothea;
+ed: edward eduard; eddie: edward eduard; ella: elisabeth gabriella; elli: elisabeth; elsa: elisabeth; elsie: elizabeth elisabeth; ferdi: ferdinand; fifi: josephine; fran: francesca frances; franzi: franziska francesca;
+fred: frederick alfred friedrich frederic; fritz: friedrich; gabi: gabriela gabriele; gaby: gabriela gabrielle; gerd: gerhard; greta: margarete margareta; grete: margarete; gretel: margarete; gus: august gustav; hannes: johannes;
+hanni: johanna hannelore; hans: johannes; hardy: leonhard gerhard; harry: harold henry; heinz: heinrich; henny: henriette; ina: katharina martina; jack: john; jake: jacob; jeff: jeffrey geoffrey;
+jim: james; jimmy: james; jo: joelle josephine johanna joanna; joe: joseph; josi: josephine; josie: josephine; jupp: josef; kate: katherine catherine; kathi: katharina katarina;
+kathy: katherine kathleen; kati: katharina katarina; katja: katharina katarina; ken: kenneth; kit: christopher christophe katherine; klaus: nikolaus; lena: magdalena helena; leni: helene magdalena; leo: leonhard leonard leopold; liese: elisabeth;
+liesl: elisabeth; lilli: elisabeth; lisa: elisabeth elizabeth; liz: elizabeth elisabeth; lotte: charlotte; luda: ludmila; lutz: ludwig; maggie: margaret; mandy: amanda; manni: manfred;
+manu: manuel manuela emmanuel; matt: matthew; matze: matthias; max: maximilian maxime; maxi: maximilian; meg: margaret; michi: michael michaela; mike: michael; mila: ludmila; mimi: marie;
+molly: mary; nando: ferdinand; nat: nathaniel nathalie; ned: edward; netti: antoinette annette; nettie: antoinette annette; nick: nicholas nikolaus nicolas; niko: nikolaus nikolas; pat: patrick patricia; peggy: margaret;
+pete: peter; phil: philip philippe; polly: mary; rick: richard frederick; rike: ulrike friederike; rob: robert; robbie: robert; rolf: rudolf; ron: ronald; rosi: rosemarie roswitha;
+rudi: rudolf; sally: sarah; sam: samuel samantha; sandy: alexander alexandra sandra; sascha: alexander alexandra; sasha: alexander alexandra; seb: sebastien sebastian; sepp: josef; sigi: siegfried sigrid; steffi: stefanie stephanie;
+steve: stephen steven; sue: susan susanne; susi: susanne; ted: theodore edward; tess: therese theresa; thea: theodora dorothea; theo: theodor theodore; tim: timothy; tina: christina martina bettina; tom: thomas;
+tommy: thomas; toni: antoinette anton antonia; tony: anthony antoine; ulli: ulrich ulrike; uli: ulrich ulrike; ute: uta; val: valerie valentin; vicky: victoria; viv: vivian vivienne; walt: walter;
+wes: wesley; will: william; willi: wilhelm william; willy: wilhelm william; wolf: wolfgang; yvi: yvonne; zac: zachary; zoe: zoey
+"""
+
+
+def nickname_table(text: str = NICKNAMES) -> dict[str, tuple[str, ...]]:
+    """A table written as ``short: long long; short: long`` as a dictionary."""
+    return {k.strip(): tuple(v.split()) for k, v in (x.split(":") for x in text.split(";"))}
+
+
+SHORT = nickname_table()
+#: Cosine from which a pair is an edge, mean cosine from which clusters are merged, and the same for names of one part among themselves.
+THRESHOLD, LEAST, LEAST_PARTIAL = 0.35, 0.2, 0.5
+#: Rows of one trigram that one task joins; more are split.
+HOT = 4000
+#: Cosines are summed as whole millionths, so that sums do not depend on their order.
+UNIT = 1_000_000
 
 
 def fold(text: str) -> str:
@@ -72,7 +99,7 @@ def parse(kind: str, label: str) -> dict:
             if len(w) == 1:
                 initials.append(w)
             else:
-                parts.append((SHORT.get(w, w), False))
+                parts.append((w, False))
     return {"kind": kind, "parts": parts, "initials": initials, "legal": legal, "comma": "," in label}
 
 
@@ -92,22 +119,6 @@ def one_slip(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
-def slips(a: str, b: str, most: int = 2) -> int:
-    """Edits between two words, ``most + 1`` if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            now.append(d)
-        before, row = row, now
-    return min(row[-1], most + 1)
-
-
 def clipped(short: str, whole: str) -> bool:
     """``short`` is made of letters of ``whole`` in their order and begins with its first two."""
     if len(short) >= len(whole) or short[:2] != whole[:2]:
@@ -116,20 +127,18 @@ def clipped(short: str, whole: str) -> bool:
     return all(c in it for c in short)
 
 
-def same_part(a: tuple[str, bool], b: tuple[str, bool], loose: bool = False) -> float:
+def same_part(a: tuple[str, bool], b: tuple[str, bool], short: dict[str, tuple[str, ...]] = SHORT) -> float:
     (x, dx), (y, dy) = a, b
-    if x == y:
+    if x == y or (x in short or y in short) and set(short.get(x, (x,))) & set(short.get(y, (y,))):
         return 1.0
     if dx and clipped(x, y) or dy and clipped(y, x) or dx and dy and x[:3] == y[:3]:
         return 0.9
-    if min(len(x), len(y)) >= 3 and max(len(x), len(y)) >= 4 and one_slip(x, y):
+    if any(min(len(p), len(q)) >= 3 and max(len(p), len(q)) >= 4 and one_slip(p, q) for p in (x, *short.get(x, ())) for q in (y, *short.get(y, ()))):
         return 0.85
-    if loose and min(len(x), len(y)) >= 6 and slips(x, y) <= 2:
-        return 0.6
     return 0.0
 
 
-def alike(a: dict, b: dict, loose: bool = False) -> float:
+def alike(a: dict, b: dict, short: dict[str, tuple[str, ...]] = SHORT) -> float:
     """0 if two names cannot be the same, else how well their parts agree."""
     if a["kind"] != b["kind"] or not a["parts"] or not b["parts"]:
         return 0.0
@@ -141,28 +150,28 @@ def alike(a: dict, b: dict, loose: bool = False) -> float:
     if len(p) >= 2:
         used, score, rough = set(), 1.0, 0
         for x in p:
-            best = max(((same_part(x, y, loose), -j) for j, y in enumerate(q) if j not in used), default=(0.0, 0))
+            best = max(((same_part(x, y, short), -j) for j, y in enumerate(q) if j not in used), default=(0.0, 0))
             if best[0] <= 0:
                 return 0.0
             used.add(-best[1])
             score *= best[0]
-            rough += best[0] in (0.85, 0.6)
-        if len(q) != len(p) or rough > 1 and not loose:
+            rough += best[0] == 0.85
+        if len(q) != len(p) or rough > 1:
             return 0.0
         return score
     if len(q) == 1:
         if a["initials"] and b["initials"] and not set(a["initials"]) & set(b["initials"]):
             return 0.0
-        return same_part(p[0], q[0]) * (1.0 if bool(a["initials"]) == bool(b["initials"]) else 0.7)
+        return same_part(p[0], q[0], short) * (1.0 if bool(a["initials"]) == bool(b["initials"]) else 0.7)
     best = 0.0
     for j, y in enumerate(q):
-        s = same_part(p[0], y)
+        s = same_part(p[0], y, short)
         others = [w for k, (w, _) in enumerate(q) if k != j]
         if a["kind"] == "person":
             if a["initials"]:
-                if not any(w[:1] in a["initials"] for w in others):
+                if not any(x[:1] in a["initials"] for w in others for x in (w, *short.get(w, ()))):
                     continue
-            elif p[0][0] in SHORT.values():
+            elif p[0][0] in short or any(p[0][0] in x for x in short.values()):
                 continue
         elif y[1]:
             continue
@@ -170,147 +179,138 @@ def alike(a: dict, b: dict, loose: bool = False) -> float:
     return best
 
 
-def trigrams(parsed: dict) -> list[str]:
-    """Trigrams of the parts; each part's sorted letters count as one more, since swaps spoil trigrams."""
+def trigrams(parsed: dict, short: dict[str, tuple[str, ...]] = SHORT) -> list[str]:
+    """Trigrams of the parts and of what nicknames stand for, initials, and each part's sorted letters as one more, since swaps spoil trigrams."""
     out = set()
     for w, _ in parsed["parts"]:
-        t = f"#{w}#"
-        out |= {t[i : i + 3] for i in range(len(t) - 2)}
+        for x in short.get(w, (w,)):
+            t = f"#{x}#"
+            out |= {t[i : i + 3] for i in range(len(t) - 2)}
         if len(w) > 4:
             out.add("".join(sorted(w)))
-    return sorted(out | {f"#{c}." for c in parsed["initials"]})
+        out |= {f"^{x[0]}" for x in (w, *short.get(w, ()))}
+    return sorted(out | {f"^{c}" for c in parsed["initials"]})
 
 
-def vectors(names: DataFrame) -> DataFrame:
-    """``names(kind, label)`` to ``(node, kind, label, full, gram, w, rest)``: one row per trigram with
-    its weight in the unit vector and the squared length of the vector from this trigram on, rarest first.
+def vectors(names: DataFrame, threshold: float = THRESHOLD, short: dict[str, tuple[str, ...]] = SHORT) -> DataFrame:
+    """``names(node, kind, label)`` to ``(node, kind, label, full, grams, w, rest)``: the trigrams, rarest first, with their
+    weights in the unit vector and the length of the vector from each trigram on.
 
     A trigram of one name only joins nothing; it is left out, so that a slip of the keyboard, which makes
     several of them, does not push a short name below the threshold."""
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for kind, label in zip(pdf["kind"], pdf["label"]):
-                x = parse(kind, label)
-                rows.append((kind, label, len(x["parts"]) >= 2, trigrams(x)))
-            yield pd.DataFrame(rows, columns=["kind", "label", "full", "grams"])
-
-    parsed = names.select("kind", "label").mapInPandas(parts, "kind string, label string, full boolean, grams array<string>")
-    node = F.concat(F.substring("kind", 1, 1), F.lit("|"), F.col("label"))
-    grams = cut(parsed.select(node.alias("node"), "kind", "label", "full", F.explode("grams").alias("gram")))
-    total = F.broadcast(grams.groupBy("kind").agg(F.count_distinct("node").alias("n")))  # one row per kind of name
-    df = grams.groupBy("kind", "gram").agg(F.count("*").alias("df"))
-    rare = Window.partitionBy("node").orderBy(F.col("df").asc(), F.col("gram"))
-    return (
-        grams.join(df.where("df > 1"), ["kind", "gram"])
-        .join(total, "kind")
-        .withColumn("raw", F.pow(F.log(1 + F.col("n") / F.col("df")), F.lit(1.5)))
-        .withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("node"))))
-        .withColumn("w", F.col("raw") / F.col("norm"))
-        .withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rare.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .select("node", "kind", "label", "full", "gram", "w", "rest")
-    )
-
-
-def similar_pairs(names: DataFrame, threshold: float = 0.25, top_n: int | None = None) -> DataFrame:
-    """``(a, b, cosine, score, full_a, full_b)`` of names whose vectors have at least this cosine and whose parts agree."""
-    vec = cut(vectors(names))
-    ahead = vec.where(F.col("rest") >= threshold * threshold - 1e-9)
-    left = ahead.select("kind", "gram", F.col("node").alias("a"))
-    right = ahead.select("kind", "gram", F.col("node").alias("b"))
-    pairs = left.join(right, ["kind", "gram"]).where("a < b").select("a", "b").distinct()
-    whole = vec.groupBy("node").agg(
-        F.first("kind").alias("kind"), F.first("label").alias("label"), F.first("full").alias("full"), F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v")
-    )  # a name's own trigrams: as long as the name
-    one = lambda s: whole.select(F.col("node").alias(s), F.col("kind").alias(f"kind_{s}"), F.col("label").alias(f"label_{s}"), F.col("full").alias(f"full_{s}"), F.col("v").alias(f"v_{s}"))
-    dot = F.aggregate(F.map_keys("v_a"), F.lit(0.0), lambda acc, g: acc + F.element_at("v_a", g) * F.coalesce(F.try_element_at("v_b", g), F.lit(0.0)))
-    near = pairs.join(one("a"), "a").join(one("b"), "b").withColumn("cosine", dot).where(F.col("cosine") >= threshold - 1e-9)
+            parsed = [parse(k, x) for k, x in zip(pdf["kind"], pdf["label"])]
+            yield pdf[["node", "kind", "label"]].assign(full=[len(x["parts"]) >= 2 for x in parsed], grams=[trigrams(x, short) for x in parsed])
+
+    parsed = cut(names.select("node", "kind", "label").mapInPandas(parts, "node bigint, kind string, label string, full boolean, grams array<string>"))
+    total = F.broadcast(parsed.groupBy("kind").agg(F.count("*").alias("n")))  # one row per kind of name
+    single = parsed.select("node", "kind", F.explode("grams").alias("gram"))
+    df = single.groupBy("kind", "gram").agg(F.count("*").alias("df")).where("df > 1").join(total, "kind")
+    raw = df.select("kind", "gram", "df", F.pow(F.log(1 + F.col("n") / F.col("df")), F.lit(1.5)).alias("raw"))
+    listed = single.join(raw, ["kind", "gram"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "raw"))).alias("v"))  # as long as the name
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            w, rest = [], []
+            for v in pdf["raw"]:
+                x = np.asarray(v, float)
+                x = x / np.sqrt((x * x).sum())
+                w.append(x.tolist())
+                rest.append(np.sqrt(np.cumsum((x * x)[::-1])[::-1]).tolist())
+            yield pdf[["node", "kind", "label", "full", "grams"]].assign(w=w, rest=rest)
+
+    rows = parsed.drop("grams").join(listed, "node").select("node", "kind", "label", "full", F.col("v.gram").alias("grams"), F.col("v.raw").alias("raw"))
+    return rows.mapInPandas(weigh, "node bigint, kind string, label string, full boolean, grams array<string>, w array<double>, rest array<double>")
+
+
+def similar_pairs(names: DataFrame, threshold: float = THRESHOLD, top_n: int | None = None, short: dict[str, tuple[str, ...]] = SHORT, hot: int = HOT) -> DataFrame:
+    """``(a, b, cosine, full_a, full_b)``, a before b, of names ``(node, kind, label)`` whose vectors have at least this cosine and whose parts agree.
+
+    Of the first trigram that two names share, the Cauchy-Schwarz bound says that the lengths of what follows multiply to the cosine at
+    least; pairs meet where that product reaches the threshold. A trigram with more than ``hot`` rows is split into blocks.
+    """
+    vec = cut(vectors(names, threshold, short))
+    at = F.explode(F.expr(f"filter(transform(grams, (g, i) -> struct(g AS gram, rest[i] AS rest)), x -> x.rest >= {threshold - 1e-9})")).alias("p")
+    rows = vec.select("node", "kind", "label", "full", F.map_from_arrays("grams", "w").alias("v"), at).select("node", "kind", "label", "full", "v", "p.gram", "p.rest")
+    split = rows.groupBy("kind", "gram").agg(F.count("*").alias("n")).where("n > 1").select("kind", "gram", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
+    placed = rows.join(split, ["kind", "gram"])
+    side = lambda s, block: placed.select("kind", "gram", block.alias("block"), F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("label", "full", "v", "rest")])
+    left, right = side("a", F.pmod("node", "blocks")), side("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = left.join(right.withColumn("block", F.col("block").cast("bigint")), ["kind", "gram", "block"]).where((F.col("a") < F.col("b")) & (F.col("rest_a") * F.col("rest_b") >= threshold - 1e-9))
+    dot = F.aggregate(F.map_entries("v_a"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("v_b", e["key"]), F.lit(0.0)))
+    near = met.withColumn("cosine", dot).where(F.col("cosine") >= threshold - 1e-9).groupBy("kind", "a", "b").agg(*[F.first(c).alias(c) for c in ("label_a", "label_b", "full_a", "full_b", "cosine")])
     if top_n is not None:
         by = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
         near = near.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= top_n).drop("_r")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[str, str], dict] = {}
+    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for a, b, ka, la, kb, lb in zip(pdf["a"], pdf["b"], pdf["kind_a"], pdf["label_a"], pdf["kind_b"], pdf["label_b"]):
-                x = seen.get((ka, la)) or seen.setdefault((ka, la), parse(ka, la))
-                y = seen.get((kb, lb)) or seen.setdefault((kb, lb), parse(kb, lb))
-                out.append(alike(x, y))
-                if len(seen) > 50_000:
-                    seen.clear()
-            yield pdf[["a", "b", "cosine", "full_a", "full_b"]].assign(score=out)
-
-    cols = near.select("a", "b", "kind_a", "label_a", "kind_b", "label_b", "full_a", "full_b", "cosine")
-    return cols.mapInPandas(score, "a string, b string, cosine double, full_a boolean, full_b boolean, score double").where("score > 0")
-
-
-def average_linkage(labels: list[str], kind: str, least: float = 0.3) -> list[int]:
-    """Clusters of a few names: the two clusters with the highest mean score are joined while it is at least ``least``."""
-    parsed = [parse(kind, x) for x in labels]
-    n = len(labels)
-    total = {(i, j): alike(parsed[i], parsed[j], loose=True) for i in range(n) for j in range(i + 1, n)}
-    members = {i: [i] for i in range(n)}
-    while len(members) > 1:
-        best = max(((s / (len(members[i]) * len(members[j])), -i, -j) for (i, j), s in total.items()), default=None)
-        if best is None or best[0] < least:
-            break
-        i, j = -best[1], -best[2]
-        members[i] += members.pop(j)
-        total.pop((i, j))
-        for k in members:
-            if k != i:
-                old = total.pop((min(j, k), max(j, k)))
-                total[min(i, k), max(i, k)] += old
-    return [next(c for c, m in members.items() if i in m) for i in range(n)]
-
-
-def cluster_names(names: DataFrame, threshold: float = 0.25, most: int = 400) -> DataFrame:
-    """``names(kind, label)``, distinct, to ``(node, cluster)``; names that are alone are left out.
-
-    Average linkage runs on one connected component at a time. A component of more than ``most``
-    names is taken apart first, by dropping its weakest kinds of links (slips, then clipped words),
-    and what is still larger holds only names with equal parts, which are one cluster as they stand.
-    Empty and null labels have no parts and link to nothing.
+            keep = [alike(parse(k, x), parse(k, y), short) > 0 for k, x, y in zip(pdf["kind"], pdf["label_a"], pdf["label_b"])]
+            yield pdf.loc[keep, ["a", "b", "cosine", "full_a", "full_b"]]
+
+    return near.select("kind", "a", "b", "label_a", "label_b", "full_a", "full_b", "cosine").mapInPandas(agree, "a bigint, b bigint, cosine double, full_a boolean, full_b boolean")
+
+
+def average_linkage(edges: DataFrame, least: float) -> DataFrame:
+    """``edges(a, b, cosine)``, one row per pair, to ``(node, cluster)`` of the nodes that were merged; a cluster is named by one of its nodes.
+
+    A round merges every pair of clusters that are each other's nearest by mean cosine, and adds up the edges of merged clusters.
+    Equal means are ordered by a hash of the pair, so that a group of equal names is halved in each round. It ends when no mean reaches ``least``.
     """
-    edges = cut(similar_pairs(names, threshold))
-    links = edges.where("full_a and full_b").select("a", "b", "score")
-    done = None
-    for level in (0.0, 0.89, 0.99):
-        comp = connected_components(links.where(F.col("score") >= level))
-        sized = comp.join(comp.groupBy("component").agg(F.count("*").alias("size")), "component")
-        small = sized if level == 0.99 else sized.where(F.col("size") <= most)
-        done = small if done is None else done.unionByName(small)
-        large = sized.where(F.col("size") > most).select("node")
-        if level == 0.99 or not large.limit(1).count():
+    now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(F.col("cosine") * UNIT).cast("bigint").alias("s"), F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb")), loop=True)
+    home = None
+    while True:
+        mean = F.col("s") / (F.col("na") * F.col("nb"))
+        open_ = now.where(mean >= least * UNIT).select(mean.alias("mean"), F.xxhash64("a", "b").alias("h"), "a", "b", (F.col("na") + F.col("nb")).alias("size"))
+        best = open_.select(F.explode(F.array("a", "b")).alias("node"), F.struct("mean", "h", "a", "b", "size").alias("k")).groupBy("node").agg(F.max("k").alias("k"))
+        both = best.groupBy("k").agg(F.count("*").alias("n")).where("n = 2")
+        moved = cut(both.select(F.explode(F.array("k.a", "k.b")).alias("node"), F.col("k.a").alias("to"), F.col("k.size").alias("size")), loop=True)
+        if not moved.limit(1).count():
             break
-        links = links.join(large.select(F.col("node").alias("a")), "a", "left_semi")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(pdf["node"])
-        kind = "person" if nodes[0].startswith("p") else "organisation"
-        found = average_linkage([x[2:] for x in nodes], kind)
-        return pd.DataFrame({"node": nodes, "cluster": [nodes[i] for i in found]})
-
-    linked = done.where(F.col("size") <= most).groupBy("component").applyInPandas(link, "node string, cluster string")
-    strong = cut(linked.unionByName(done.where(F.col("size") > most).select("node", F.col("component").alias("cluster"))))
-    touching = edges.where("full_a != full_b").select(
-        F.when(F.col("full_a"), F.col("b")).otherwise(F.col("a")).alias("node"), F.when(F.col("full_a"), F.col("a")).otherwise(F.col("b")).alias("whole"), "score"
-    )
-    home = touching.join(strong.withColumnRenamed("node", "whole"), "whole", "left").withColumn("cluster", F.coalesce("cluster", "whole"))
-    fit = home.groupBy("node", "cluster").agg(F.max("score").alias("fit"))
-    ranked = fit.withColumn("best", F.max("fit").over(Window.partitionBy("node"))).where("fit > best - 0.04")
-    chosen = cut(ranked.groupBy("node").agg(F.count("*").alias("n"), F.min("cluster").alias("cluster")))
+        fresh = moved.select("node", F.col("to").alias("cluster"))
+        if home is None:
+            home = fresh
+        else:
+            later = home.join(fresh.select(F.col("node").alias("cluster"), F.col("cluster").alias("next")), "cluster", "left")
+            home = cut(later.select("node", F.coalesce("next", "cluster").alias("cluster")).unionByName(fresh.join(home.select("node"), "node", "left_anti")), loop=True)
+        to = lambda s: moved.select(F.col("node").alias(s), F.col("to").alias(f"to_{s}"), F.col("size").alias(f"size_{s}"))
+        next_edges = now.join(to("a"), "a", "left").join(to("b"), "b", "left").select(
+            F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"), "s", F.coalesce("size_a", "na").alias("nx"), F.coalesce("size_b", "nb").alias("ny")
+        )
+        turned = F.col("x") > F.col("y")
+        ordered = next_edges.where("x <> y").select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "s", F.when(turned, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(turned, F.col("nx")).otherwise(F.col("ny")).alias("nb")
+        )
+        now = cut(ordered.groupBy("a", "b").agg(F.sum("s").alias("s"), F.first("na").alias("na"), F.first("nb").alias("nb")), loop=True)
+    return edges.sparkSession.createDataFrame([], "node bigint, cluster bigint") if home is None else home
+
+
+def cluster_names(names: DataFrame, threshold: float = THRESHOLD, least: float = LEAST, least_partial: float = LEAST_PARTIAL, short: dict[str, tuple[str, ...]] = SHORT) -> DataFrame:
+    """``names(kind, label)`` to ``(label, cluster)``; names that are alone are left out.
+
+    ``short`` is a table of nicknames with the names they may stand for.
+    """
+    ids = cut(names.select("kind", "label").where("kind is not null and trim(label) <> ''").distinct().withColumn("node", F.monotonically_increasing_id()))
+    edges = cut(similar_pairs(ids, threshold, short=short))
+    strong = average_linkage(edges.where("full_a and full_b"), least)
+    sizes = strong.groupBy("cluster").agg(F.count("*").alias("size"))
+    whole = strong.join(sizes, "cluster").select(F.col("node").alias("whole"), "cluster", "size")
+    touching = edges.where("full_a != full_b").select(F.when(F.col("full_a"), F.col("b")).otherwise(F.col("a")).alias("node"), F.when(F.col("full_a"), F.col("a")).otherwise(F.col("b")).alias("whole"), "cosine")
+    home = touching.join(whole, "whole", "left").select("node", F.coalesce("cluster", "whole").alias("cluster"), F.coalesce("size", F.lit(1)).alias("size"), "cosine")
+    fit = home.groupBy("node", "cluster").agg((F.sum("cosine") / F.first("size")).alias("mean")).where(F.col("mean") >= least)
+    chosen = cut(fit.groupBy("node").agg(F.count("*").alias("n"), F.min("cluster").alias("cluster")))
     attached = chosen.where("n = 1").select("node", "cluster")
-    loose = edges.where("not full_a and not full_b").join(chosen.select(F.col("node").alias("a")), "a", "left_anti").join(chosen.select(F.col("node").alias("b")), "b", "left_anti")
-    alone = connected_components(loose.where("score >= 0.8")).select("node", F.col("component").alias("cluster"))
-    heads = attached.select(F.col("cluster").alias("node"), "cluster").distinct()
-    return strong.unionByName(attached).unionByName(heads).unionByName(alone).distinct()
+    free = edges.where("not full_a and not full_b").join(chosen.select(F.col("node").alias("a")), "a", "left_anti").join(chosen.select(F.col("node").alias("b")), "b", "left_anti")
+    alone = average_linkage(free.select("a", "b", "cosine"), least_partial)
+    heads = attached.select(F.col("cluster").alias("node"), "cluster")
+    member = strong.unionByName(attached).unionByName(heads).unionByName(alone).distinct()
+    return member.join(ids.select("node", "label"), "node").select("label", "cluster")
 
 
-def same_entity_pairs(names: DataFrame) -> DataFrame:
+def same_entity_pairs(names: DataFrame, short: dict[str, tuple[str, ...]] = SHORT) -> DataFrame:
     """``(label_a, label_b)``, label_a before label_b by code point, of names in one cluster."""
-    member = cut(cluster_names(names).select("cluster", F.substring("node", 3, 100_000).alias("label")))
+    member = cut(cluster_names(names, short=short))
     a, b = member.withColumnRenamed("label", "label_a"), member.withColumnRenamed("label", "label_b")
     return a.join(b, "cluster").where("label_a < label_b").select("label_a", "label_b").distinct()

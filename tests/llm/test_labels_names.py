@@ -79,7 +79,7 @@ def test_firms(a, b, same):
 
 def test_clusters(spark, collect):
     people = ["Celine Worosig", "WOROSIG Celine", "C. Worosig", "Ulrike Tijoxaz", "Ulrik Tijoxaz", "Johannes Tijoxaz", "Mr. Tijoxaz", "Mr. Worosig", "", "...", "x" * 3000]
-    names = spark.createDataFrame([("person", p) for p in people] + [("organisation", "Celine Worosig"), ("organisation", "Sititus & Co"), ("organisation", "Sititus Engineering Ltd"), ("organisation", "Sititus Eng. Ltd")], "kind string, label string")
+    names = spark.createDataFrame([("person", p) for p in people] + [("organisation", "Celine Worosig"), ("organisation", "Sititus & Co"), ("organisation", "Sititus Engineering Ltd"), ("organisation", "Sititus Eng. Ltd")], "kind string, label string").selectExpr("*", "1 AS node", "'x' AS cluster")
     got = collect(NA.same_entity_pairs(names))
     one = ["C. Worosig", "Celine Worosig", "Mr. Worosig", "WOROSIG Celine"]
     want = [(a, b) for i, a in enumerate(one) for b in one[i + 1 :]] + [("Ulrik Tijoxaz", "Ulrike Tijoxaz"), ("Sititus & Co", "Sititus Eng. Ltd"), ("Sititus & Co", "Sititus Engineering Ltd"), ("Sititus Eng. Ltd", "Sititus Engineering Ltd")]
@@ -88,16 +88,55 @@ def test_clusters(spark, collect):
     assert collect(NA.same_entity_pairs(names.unionByName(names).distinct())) == got
 
 
+def _ids(spark, labels, kind="person"):
+    return spark.createDataFrame([(i, kind, x) for i, x in enumerate(labels)], "node bigint, kind string, label string")
+
+
 def test_cosine_join_misses_nothing(spark):
     rnd = random.Random(4)
     people = sorted({f"{rnd.choice(['Celine', 'Ulrike', 'Bruno'])} {rnd.choice(['Wor', 'Tij', 'Bol'])}{rnd.choice(['osig', 'oxaz', 'ikid'])}{rnd.choice(['', 'a', 'er'])}" for _ in range(60)})
-    df = spark.createDataFrame([("person", p) for p in people], "kind string, label string")
-    v = {}
-    for r in NA.vectors(df).collect():
-        v.setdefault(r["node"], {})[r["gram"]] = r["w"]
+    df = _ids(spark, people)
+    v = {r["node"]: dict(zip(r["grams"], r["w"])) for r in NA.vectors(df).collect()}
     want = set()
     for a in v:
         for b in v:
-            if a < b and sum(w * v[b].get(g, 0) for g, w in v[a].items()) >= 0.5 and NA.alike(NA.parse("person", a[2:]), NA.parse("person", b[2:])) > 0:
+            if a < b and sum(w * v[b].get(g, 0) for g, w in v[a].items()) >= 0.5 and NA.alike(NA.parse("person", people[a]), NA.parse("person", people[b])) > 0:
                 want.add((a, b))
     assert {(r["a"], r["b"]) for r in NA.similar_pairs(df, 0.5).collect()} == want
+    assert {(r["a"], r["b"]) for r in NA.similar_pairs(df, 0.5, hot=3).collect()} == want  # every trigram split over tasks
+
+
+def test_large_group_loses_no_link(spark):
+    """41 spellings that are all one slip apart are one group, whatever its size."""
+    labels = [f"Celine Woro{c}sig" for c in "abcdefghijklmnopqrstuvwxyz\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438\u043a\u043b\u043c\u043d\u043e\u043f"]
+    names = spark.createDataFrame([("person", x) for x in labels], "kind string, label string")
+    assert NA.same_entity_pairs(names).count() == 41 * 40 // 2
+
+
+def test_average_linkage_equals_one_merge_at_a_time(spark):
+    rnd = random.Random(5)
+    for least in (0.2, 0.5):
+        w = {(i, j): rnd.random() for i in range(14) for j in range(i + 1, 14) if rnd.random() < 0.5}
+        members, total = {i: [i] for i in range(14)}, {k: round(x * NA.UNIT) for k, x in w.items()}
+        while True:
+            best = max(((s / len(members[i]) / len(members[j]), i, j) for (i, j), s in total.items()), default=(0, 0, 0))
+            if best[0] < least * NA.UNIT:
+                break
+            _, i, j = best
+            members[i] += members.pop(j)
+            merged = {}
+            for (a, b), s in total.items():
+                a, b = (i if a == j else a), (i if b == j else b)
+                if a != b:
+                    merged[min(a, b), max(a, b)] = merged.get((min(a, b), max(a, b)), 0) + s
+            total = merged
+        got = {}
+        for r in NA.average_linkage(spark.createDataFrame([(*k, x) for k, x in w.items()], "a bigint, b bigint, cosine double"), least).collect():
+            got.setdefault(r["cluster"], set()).add(r["node"])
+        assert sorted(map(sorted, got.values())) == sorted(sorted(m) for m in members.values() if len(m) > 1)
+
+
+def test_other_nicknames(spark, collect):
+    names = spark.createDataFrame([("person", "Zorro Worosig"), ("person", "Diego Worosig"), ("person", "Zorro Worosig")], "kind string, label string")
+    assert collect(NA.same_entity_pairs(names)) == []
+    assert collect(NA.same_entity_pairs(names, NA.nickname_table("zorro: diego"))) == [("Diego Worosig", "Zorro Worosig")]
