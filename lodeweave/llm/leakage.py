@@ -2,34 +2,56 @@
 
 Latent semantic retrieval: the passages are cut into overlapping windows, whose word trigrams,
 weighted by TF-IDF, form a sparse matrix. A randomised SVD, computed over distributed rows and
-columns, gives each trigram a short vector. The corpus is scanned once, without a shuffle: each
-document's windows are projected with these vectors and compared by cosine with the windows of the
-passages (the stated query set, in blocks of bounded size). Each candidate is then aligned with the
-passage by a longest common subsequence, and counts if at least half of the passage's words stand
-in one stretch with at most one word in ten changed.
-
-Null, empty and contentless texts hold nothing. Texts are read whole, whatever their length.
-Several copies of a text are each reported. Blank passages match nothing.
+columns, gives each trigram a short vector. The corpus is read and tokenised once, without a
+shuffle, whatever the number of items: each document's windows are projected with these vectors and
+compared by cosine with the windows of the passages, one block of the stated query set after the
+other. Each candidate is then aligned with the passage by a longest common subsequence, and counts
+if at least half of the passage's words stand in one stretch with at most one word in ten changed.
+
+The width of the windows follows the stretch that a passage needs (``SEARCHES``), so short passages
+are found as well. A passage of three or four words needs three of them in a row; one of fewer
+words matches nothing. Null, empty and contentless texts hold nothing. Texts are read whole,
+whatever their length. Several copies of a text are each reported.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Windows in words, their steps in passages and documents, and passages per block.
-WIDTH, STEP_PASSAGE, STEP_DOC, BLOCK = 20, 4, 6, 1500
-#: Rank of the latent space, oversampling, least share of known trigrams (by weight) and least cosine.
-RANK, OVER, LEAST_KNOWN, LEAST_COSINE = 96, 16, 0.55, 0.8
+#: Words of the passages in one block of the query set; it bounds what the driver and a task hold of them at a time.
+BLOCK_WORDS = 150_000
+#: Windows of a passage at most (they lie further apart in long ones), rank of the latent space, oversampling.
+MOST_WINDOWS, RANK, OVER = 128, 96, 16
 #: Share of a passage that makes a leak, and share of its words that may be changed.
 STRETCH, CHANGED = 0.5, 0.1
 
+
+@dataclass(frozen=True)
+class Search:
+    """Windows for passages that need a stretch of at least ``need`` words: their width and steps in words, the least share
+    of known trigrams (by weight) of a document's window, and the least cosine."""
+
+    need: int
+    width: int
+    step_passage: int
+    step_doc: int
+    known: float
+    cosine: float
+
+
+#: In a stretch of ten words or more with one in ten changed, five or more in a row are intact; in a shorter one, all. The
+#: bounds are what a window that meets such a stretch at the least favourable place still has.
+SEARCHES = (Search(20, 20, 4, 6, 0.38, 0.55), Search(10, 10, 2, 3, 0.2, 0.5), Search(5, 5, 1, 1, 0.999, 0.7), Search(4, 4, 1, 1, 0.999, 0.7), Search(3, 3, 1, 1, 0.999, 0.7))
+
 _BREAK = re.compile(r"(?<=\w)[-‐¬]\s*\n\s*(?:[>|*#]+\s*)?(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 _GONE = re.compile("[­​‌‍⁠﻿]")
@@ -69,13 +91,20 @@ def lcs_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def needed(n: int, stretch: float = STRETCH) -> int:
+    """The words of a passage of ``n`` that must stand in one stretch."""
+    return max(3, int(-(-n * stretch // 1)))
+
+
 def leaks(passage: list[int], region: list[int], stretch: float = STRETCH, changed: float = CHANGED) -> bool:
     """Whether the region holds a stretch of the passage of the length wanted with few enough changes.
 
     Changed are words of the stretch that are missing, or words put between them, whichever are more.
     """
-    n = len(passage)
-    need = -(-n * stretch // 1)
+    need = needed(len(passage), stretch)
+    runs = {tuple(passage[i : i + need]) for i in range(len(passage) - need + 1)}
+    if any(tuple(region[i : i + need]) in runs for i in range(len(region) - need + 1)):
+        return True
     pairs = lcs_pairs(passage, region)
     m = len(pairs)
     if m < need * (1 - changed):
@@ -93,37 +122,35 @@ def leaks(passage: list[int], region: list[int], stretch: float = STRETCH, chang
             allowed = int(changed * max(span, need) + 1e-9)
             missing = wide - count
             # the stretch may reach past its first and last matched word, if those next to them are changed
-            edge = max(0, int(need) - span)
+            edge = max(0, need - span)
             if missing + edge <= allowed:
                 return True
     return False
 
 
 class Index:
-    """The windows of some passages in a latent space."""
+    """The windows of some passages in a latent space, for one way to search."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items, self.passages = [], []
+    def __init__(self, items: list[tuple[int, list[str]]], search: Search = SEARCHES[0]) -> None:
+        self.search, self.items, self.passages = search, [], []
         self.ids: dict[str, int] = {}
-        for item, text in items:
-            w = words(text or "")
-            if len(w) >= 6:
-                self.items.append(item)
-                self.passages.append([self.ids.setdefault(x, len(self.ids) + 1) for x in w])
+        for item, w in items:
+            self.items.append(item)
+            self.passages.append([self.ids.setdefault(x, len(self.ids) + 1) for x in w])
         self.base = len(self.ids) + 1
-        keys, of_item, starts = [], [], []
+        keys, of_item = [], []
         for k, p in enumerate(self.passages):
             g = self.grams(np.asarray(p, dtype=np.int64))
-            for s in range(0, max(1, len(p) - WIDTH + STEP_PASSAGE), STEP_PASSAGE):
-                keys.append(g[s : s + WIDTH - 2])
+            step = max(search.step_passage, len(p) // MOST_WINDOWS)
+            for s in range(0, max(1, len(p) - search.width + step), step):
+                keys.append(g[s : s + search.width - 2])
                 of_item.append(k)
-                starts.append(s)
         self.of_item = np.asarray(of_item)
         self.windows = keys
         flat = np.concatenate([np.unique(x) for x in keys]) if keys else np.zeros(0, np.int64)
         self.terms, df = np.unique(flat, return_counts=True)
         self.idf = np.log(1.0 + len(keys) / df).astype(np.float32) if len(df) else np.zeros(0, np.float32)
-        self.most = float(np.log(1.0 + len(keys))) if keys else 1.0
+        self.most = float(np.median(self.idf)) if len(self.idf) else 1.0  # an unknown trigram weighs as much as an ordinary one
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         """Keys of the word trigrams; 0 where a word is unknown."""
@@ -193,58 +220,59 @@ class Scanner:
     """Finds passages in documents, many documents at a time."""
 
     def __init__(self, index: Index, vectors: np.ndarray) -> None:
-        self.index, self.vectors = index, vectors * index.idf[:, None]
-        q = np.stack([self.vectors[np.searchsorted(index.terms, k)].sum(axis=0) for k in index.windows])
+        scaled = vectors * index.idf[:, None]
+        q = np.stack([scaled[np.searchsorted(index.terms, k)].sum(axis=0) for k in index.windows])
+        self.index = index
+        self.vectors = np.concatenate([scaled, np.zeros((1, scaled.shape[1]), np.float32)])
         self.queries = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).astype(np.float32).T.copy()
 
-    def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of windows and numbers of passages with a cosine of at least ``LEAST_COSINE``."""
-        ix = self.index
+    def candidates(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, places of windows and numbers of passages with the cosine wanted; document d has the words from
+        ``bounds[d]`` to two before ``bounds[d + 1]``, and its windows start from its first word."""
+        ix, search = self.index, self.index.search
         keys = ix.grams(ids)
         at = np.minimum(np.searchsorted(ix.terms, keys), len(ix.terms) - 1)
         known = (ix.terms[at] == keys) & (keys > 0)
         sq = np.where(known, ix.idf[at] ** 2, 0.0)
         total = np.concatenate([[0.0], np.cumsum(np.where(known, sq, ix.most**2), dtype=np.float64)])
         inside = np.concatenate([[0.0], np.cumsum(sq, dtype=np.float64)])
-        n = len(keys)
-        span = WIDTH - 2
-        starts = np.arange(0, max(1, n - span + STEP_DOC), STEP_DOC)
-        ends = np.minimum(starts + span, n)
+        span = search.width - 2
+        size = np.maximum(np.diff(bounds) - 4, 0)  # trigrams of each document
+        count = np.where(size > 0, np.maximum(1, -(-(size - span + search.step_doc) // search.step_doc)), 0)
+        doc = np.repeat(np.arange(len(size)), count)
+        starts = bounds[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * search.step_doc
+        ends = np.minimum(starts + span, bounds[:-1][doc] + size[doc])
         share = (inside[ends] - inside[starts]) / np.maximum(total[ends] - total[starts], 1e-9)
-        starts = starts[share >= LEAST_KNOWN]
+        kept = share >= search.known
+        doc, starts, ends = doc[kept], starts[kept], ends[kept]
         if not len(starts):
-            return starts, starts
-        v = np.concatenate([self.vectors, np.zeros((1, self.vectors.shape[1]), np.float32)])
-        at = np.concatenate([np.where(known, at, len(v) - 1), np.full(span, len(v) - 1)])
-        place, item = [], []
+            return doc, starts, starts
+        at = np.concatenate([np.where(known, at, len(self.vectors) - 1), np.full(span, len(self.vectors) - 1)])
+        found, place, item = [], [], []
         for k in range(0, len(starts), 2048):
             s = starts[k : k + 2048]
-            x = v[at[s[:, None] + np.arange(span)[None, :]]].sum(axis=1)
+            x = self.vectors[at[s[:, None] + np.arange(span)[None, :]]].sum(axis=1)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-            i, j = np.nonzero(x @ self.queries >= LEAST_COSINE)
+            i, j = np.nonzero(x @ self.queries >= search.cosine)
+            found.append(doc[k : k + 2048][i])
             place.append(s[i])
             item.append(ix.of_item[j])
-        return np.concatenate(place), np.concatenate(item)
+        return np.concatenate(found), np.concatenate(place), np.concatenate(item)
 
-    def scan(self, doc_ids: list[int], texts: list[str | None]) -> list[tuple[int, int]]:
+    def scan(self, vocabulary: list[str], ids: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+        """``(document, item)`` of the leaks in texts given as numbers of words in a vocabulary (0: no word)."""
         ix, get = self.index, self.index.ids.get
-        lists = [[get(w, 0) for w in words(t)] if t else [] for t in texts]
-        bounds = np.concatenate([[0], np.cumsum([len(x) + 2 for x in lists])])
-        ids = np.zeros(bounds[-1], np.int64)
-        for x, s in zip(lists, bounds):
-            ids[s : s + len(x)] = x
-        place, item = self.candidates(ids)
-        if not len(place):
-            return []
-        doc = np.searchsorted(bounds, place, side="right") - 1
-        seen: dict[tuple[int, int], list[int]] = {}
-        for d, k, p in zip(doc.tolist(), item.tolist(), place.tolist()):
-            for dd in {d, min(d + 1, len(lists) - 1)} if p + WIDTH > bounds[d + 1] else (d,):
-                seen.setdefault((dd, k), []).append(p - int(bounds[dd]))
+        own = np.array([0, *[get(w, 0) for w in vocabulary]], np.int64)[ids]
+        seen: dict[tuple[int, int], set[int]] = {}
+        for d, p, k in zip(*(x.tolist() for x in self.candidates(own, bounds))):
+            seen.setdefault((d, k), set()).add(p - int(bounds[d]))
         out = []
-        for (d, k), places in seen.items():
-            passage, text = ix.passages[k], lists[d]
-            places = sorted(set(places))
+        texts: dict[int, list[int]] = {}
+        for (d, k), found in sorted(seen.items()):
+            if d not in texts:
+                texts = {d: own[bounds[d] : bounds[d + 1] - 2].tolist()}
+            passage, text = ix.passages[k], texts[d]
+            places = sorted(found)
             groups = [[places[0], places[0]]]
             for p in places[1:]:
                 if p - groups[-1][1] <= len(passage):
@@ -252,9 +280,9 @@ class Scanner:
                 else:
                     groups.append([p, p])
             for lo, hi in groups:
-                region = text[max(0, lo - len(passage) - 5) : hi + WIDTH + len(passage) + 5]
+                region = text[max(0, lo - len(passage) - 5) : hi + ix.search.width + len(passage) + 5]
                 if self.promising(passage, region) and leaks(passage, region):
-                    out.append((doc_ids[d], ix.items[k]))
+                    out.append((d, ix.items[k]))
                     break
         return out
 
@@ -262,31 +290,76 @@ class Scanner:
         """Whether enough of the passage's trigrams are there for half of it with one word in ten changed."""
         grams = set(zip(passage, passage[1:], passage[2:]))
         n = sum(g in grams for g in zip(region, region[1:], region[2:]))
-        need = -(-len(passage) * STRETCH // 1)
-        return n >= need - 2 - 3 * int(CHANGED * need + 1e-9) - 1
+        need = needed(len(passage))
+        return n >= need - 2 - 3 * max(1 if need >= 9 else 0, int(CHANGED * need + 1e-9)) - (need > 9)
+
+
+def tokenised(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, all texts as numbers from 1 with two zeros after each, and where each begins."""
+    numbers: dict[str, int] = {}
+    lists = [[numbers.setdefault(w, len(numbers) + 1) for w in words(t)] if t else [] for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(x) + 2 for x in lists])]).astype(np.int64)
+    ids = np.zeros(bounds[-1] + 2, np.int64)
+    for x, s in zip(lists, bounds):
+        ids[s : s + len(x)] = x
+    return list(numbers), ids, bounds
+
+
+def _block(spark: SparkSession, items: list[tuple[int, list[str]]]) -> Broadcast | None:
+    """The indexes of one block of passages, one for each way to search that it needs."""
+    parts = []
+    for search, below in zip(SEARCHES, (10**9, *[s.need for s in SEARCHES])):
+        index = Index([x for x in items if search.need <= needed(len(x[1])) < below], search)
+        if index.windows:
+            rows = spark.createDataFrame(index.rows(), "w int, terms array<int>, weights array<float>").repartition(spark.sparkContext.defaultParallelism)
+            parts.append((index, randomised_svd(rows, len(index.windows), len(index.terms))))
+    return spark.sparkContext.broadcast(parts) if parts else None
+
+
+def blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """The passages of three words or more as lists of words, in blocks of ``most`` words (or one longer passage)."""
+    block, size = [], 0
+    for r in items.select("item_id", "passage").where("passage is not null").orderBy("item_id", "passage").toLocalIterator():
+        w = words(r[1])
+        if len(w) < 3:
+            continue
+        if block and size + len(w) > most:
+            yield block
+            block, size = [], 0
+        block.append((r[0], w))
+        size += len(w)
+    if block:
+        yield block
+
 
+def find_leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``documents(doc_id, text)`` and ``items(item_id, passage)`` to ``(doc_id, item_id)``.
 
-def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``documents(doc_id, text)`` and ``items(item_id, passage)`` to ``(doc_id, item_id)``."""
+    The blocks' indexes are broadcast one by one, and a task has one of them in memory at a time.
+    """
     spark = documents.sparkSession
     schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("item_id", items.schema["item_id"].dataType)])
-    parts = max(1, -(-items.count() // BLOCK))
-    found = None
-    for i in range(parts):
-        block = items.select("item_id", "passage").where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i)
-        index = Index(sorted((r[0], r[1]) for r in block.collect() if r[1]))  # one block of the query set
-        if not index.windows:
-            continue
-        rows = spark.createDataFrame(index.rows(), "w int, terms array<int>, weights array<float>").repartition(spark.sparkContext.defaultParallelism)
-        shared = spark.sparkContext.broadcast((index, randomised_svd(rows, len(index.windows), len(index.terms))))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            scanner = Scanner(*shared.value)
-            for pdf in batches:
-                for k in range(0, len(pdf), 500):
-                    part = pdf.iloc[k : k + 500]
-                    yield pd.DataFrame(scanner.scan(part["doc_id"].tolist(), part["text"].tolist()), columns=["doc_id", "item_id"])
-
-        one = documents.select("doc_id", "text").where("text is not null").mapInPandas(scan, schema)
-        found = one if found is None else found.unionByName(one)
-    return spark.createDataFrame([], schema) if found is None else found
+    shared = [b for b in (_block(spark, x) for x in blocks(items, block_words)) if b is not None]
+    if not shared:
+        return spark.createDataFrame([], schema)
+
+    def scanners(b: Broadcast) -> list[Scanner]:
+        made = [Scanner(*x) for x in b.value]
+        if len(shared) > 1:
+            b.__dict__.pop("_value", None)  # read again from this machine's copy when its turn comes
+        return made
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = scanners(shared[0]) if len(shared) == 1 else None
+        most = 2_000_000 if kept else 40_000_000  # characters looked at together; reading a block again must be worth it
+        for pdf in batches:
+            docs, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            group = np.cumsum([len(t) for t in texts]) // most
+            for g in np.unique(group):
+                lo, hi = np.searchsorted(group, [g, g + 1])
+                text = tokenised(texts[lo:hi])
+                for b in shared:
+                    for scanner in kept or scanners(b):
+                        yield pd.DataFrame([(docs[lo + d], item) for d, item in scanner.scan(*text)], columns=["doc_id", "item_id"])
+
+    return documents.select("doc_id", "text").where("text is not null").mapInPandas(scan, schema)

@@ -41,16 +41,45 @@ def test_leaks(spark, collect):
     want = [(1, 0), (1, 0), (2, 0), (3, 0), (4, 0), (10, 1), (10, 2)]
     assert collect(LE.find_leaks(d, e)) == sorted(want, key=str)
     assert LE.find_leaks(d.limit(0), e).count() == 0 and LE.find_leaks(d, e.limit(0)).count() == 0
-    old = LE.BLOCK
-    try:
-        LE.BLOCK = 4
-        assert collect(LE.find_leaks(d, e)) == sorted(want, key=str)
-    finally:
-        LE.BLOCK = old
+    assert collect(LE.find_leaks(d, e, block_words=200)) == sorted(want, key=str)
+
+
+def test_short_passages_and_halves(spark):
+    """Passages of 6 words and more, and halves of them, planted in noise; one in ten changed where ten are there."""
+    rnd = random.Random(7)
+    fresh = iter(rnd.sample([f"{a}{b}{c}" for a in WORDS for b in "bcdfg" for c in "aeiou"], 1500))
+    docs, items, want = [], [], set()
+    for n in (5, 6, 8, 10, 14, 18, 20, 24, 30, 38, 43, 60, 142):
+        for k in range(4):
+            p = [next(fresh) if rnd.random() < 0.3 else rnd.choice(WORDS) + str(rnd.randrange(40)) for _ in range(n)]
+            item = len(items)
+            items.append((item, " ".join(p)))
+            half = max(3, -(-n // 2))
+            at = rnd.randrange(n - half + 1)
+            parts = [p, p[at : at + half]]
+            if half >= 10:
+                parts.append([("zq" if i % 10 == 5 and i // 10 < half // 10 else w) for i, w in enumerate(p[at : at + half])])
+            for part in parts:
+                noise = [rnd.choice(WORDS) for _ in range(200)]
+                cut = rnd.randrange(200)
+                want.add((len(docs), item))
+                docs.append((len(docs), " ".join(noise[:cut] + part + noise[cut:])))
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    got = {tuple(r) for r in LE.find_leaks(d, e).collect()}
+    assert want <= got and len(got - want) <= 2
+    assert {tuple(r) for r in LE.find_leaks(d, e, block_words=300).collect()} >= want
+
+
+def test_the_corpus_is_read_once(spark):
+    e = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(300)], "item_id bigint, passage string")
+    d = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(15))) for i in range(40)], "doc_id bigint, text string")
+    out = LE.find_leaks(d, e, block_words=1000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Union" not in plan and out.count() == 40
 
 
 def test_svd_spans_the_rows(spark):
-    ix = LE.Index([(i, " ".join(f"w{i}x{j % (7 + i)}" for j in range(60))) for i in range(5)])
+    ix = LE.Index([(i, [f"w{i}x{j % (7 + i)}" for j in range(60)]) for i in range(5)])
     rows = spark.createDataFrame(ix.rows(), "w int, terms array<int>, weights array<float>")
     v = LE.randomised_svd(rows, len(ix.windows), len(ix.terms), rank=60)
     a = np.zeros((len(ix.windows), len(ix.terms)))
