@@ -16,7 +16,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All export lines in one consistent table."""
-    return one_table(table(spark, sf_dir, "raw_export_lines")).withColumn("others", F.to_json("others"))
+    return one_table(table(spark, sf_dir, "raw_export_lines")).withColumns({"record": F.to_json("record"), "unfitted": F.to_json("unfitted")})
 
 
 QUERIES = {"p4_found": p4_found, "p4_table": p4_table}

@@ -62,7 +62,40 @@ def test_changes(spark, collect):
     assert collect(changes(df)) == sorted(want, key=str)  # half of the values is not more than half
     assert changes(df.limit(0)).count() == 0
     table = {r["line_id"]: r for r in one_table(df).collect()}
-    assert [table[i]["chunk_id"] for i in (0, 3, 6)] == ["c1", "c1", "c1"] and table[0]["confidence"] == 0.5 and table[9]["chunk_id"] is None and len(table) == df.count()
+    chunk, conf = ([c for c in table[0]["record"].asDict() if c.lower().startswith(x)] for x in ("chunk", "conf"))
+    assert len(chunk) == len(conf) == 1  # one name each
+    assert [table[i]["record"][chunk[0]] for i in (0, 3, 6)] == ["c1", "c1", "c1"] and table[0]["record"][conf[0]] == 0.5 == table[6]["record"][conf[0]] and len(table) == df.count()
+    bad = {r["line_id"]: r for r in one_table(df).collect() if r["record"] is None}
+    assert sorted(bad) == [9, 10] and bad[10]["unfitted"] == {"": "{bad"} and one_table(df.limit(0)).count() == 0
+
+
+def test_one_table_drops_nothing(spark):
+    """Fields that move between levels, files without common records, values that do not fit: every value is still there."""
+    files = [
+        ("f", "one", [("k1", {"chunk_id": "c1", "snippet": "text one", "ev": [{"pos": 1}, {"pos": 2}], "x": 1}), ("k2", {"chunk_id": "c2", "snippet": "text two", "ev": {"pos": "3"}, "x": "many"})]),
+        ("f", "two", [("k1", {"source": {"chunk_id": "c1"}, "snippet": "text one", "ev": [], "x": [5]}), ("k2", {"source": {"chunk_id": "c2"}, "snippet": "text two", "ev": ["loose"]})]),
+        ("g", "three", [("k7", {"chunkId": "c7", "snippet": "text seven"})]),
+        ("g", "four", [("k8", {"chunk_id": "c8", "snippet_text": "text eight", "X": 2})]),
+    ]
+    rows = {r["rec_key"] + r["file_name"]: r for r in one_table(spark.createDataFrame(_lines(files), LINES)).collect()}
+    whole = " ".join(str(r["record"]) + str(r["unfitted"]) for r in rows.values())
+    for v in ("text one", "text two", "text seven", "text eight", "c1", "c2", "c7", "c8", "many", "loose"):
+        assert v in whole
+    one, two, seven, eight = (rows[k]["record"] for k in ("k1one", "k1two", "k7three", "k8four"))
+    assert [x["pos"] for x in one["ev"]] == [1.0, 2.0] and [x["pos"] for x in rows["k2one"]["record"]["ev"]] == [3.0]
+    assert rows["k2one"]["unfitted"] == {"x": "many"} and two["x"] == 5.0 and rows["k2two"]["unfitted"] == {"ev": '["loose"]'}
+    chunk = lambda r: r["chunk_id"] if "chunk_id" in r.asDict() and r["chunk_id"] else r["source"]["chunk_id"]
+    assert chunk(one) == chunk(two) == "c1"  # the field moved to another level and is one column
+    assert seven["snippet"] == "text seven" and eight["snippet"] == "text eight" and seven["chunk_id"] == "c7" and eight["chunk_id"] == "c8"  # no record in common
+    plain = one.asDict()
+    assert len([c for c in plain if "snippet" in c.lower()]) == 1
+
+
+def test_flooding_uses_types_and_nesting():
+    old = {"a": "object", "a.n": "number", "a.t": "string", "z": "array"}
+    new = {"b": "object", "b.p": "number", "b.q": "string", "z": "array"}
+    s = flood(old, new, {})
+    assert s["a.n", "b.p"] > s["a.n", "b.q"] and s["a.t", "b.q"] > s["a.t", "b.p"] and s["a", "b"] > s["a", "b.p"] and max(s.values()) == 1.0
 
 
 def test_flooding_prefers_neighbours():
