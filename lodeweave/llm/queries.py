@@ -123,6 +123,20 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
 
+def p9_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a mixture as large as the corpus: the exponent is bisected to the repetition limits."""
+    from lodeweave.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), budget="corpus")[1]
+
+
+def p9_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a mixture of the natural token shares to the power that gives it the entropy of the targets."""
+    from lodeweave.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), entropy="targets")[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -135,6 +149,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_budget": p9_budget,
+    "p9_entropy": p9_entropy,
     "p10_found": p10_found,
 }
 

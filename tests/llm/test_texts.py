@@ -166,6 +166,28 @@ def test_plan():
     assert abs(MI.entropy(MI.temperature(s, x)) - 0.6) < 1e-3
 
 
+def test_plan_against_closed_forms():
+    tokens, targets = {"a": 6400, "b": 1600, "c": 400}, {"a": (0.2, 1), "b": (0.3, 4), "c": (0.5, 8)}
+    # all sources may give 6400 + 6400 + 3200 tokens; at the exponent 0 the shares are those, 0.4, 0.4, 0.2
+    w, budget, e = MI.plan(tokens, targets, 16_000)
+    assert abs(e) < 1e-6 and budget == 16_000 and all(abs(w[s] - x) < 1e-6 for s, x in (("a", 0.4), ("b", 0.4), ("c", 0.2)))
+    # the source c binds: 0.5^e 0.2^(1-e) / sum = 3200 / budget; at e = 1/2 that is sqrt(.1) / (sqrt(.08) + sqrt(.12) + sqrt(.1))
+    share = 0.1**0.5 / (0.08**0.5 + 0.12**0.5 + 0.1**0.5)
+    w, budget, e = MI.plan(tokens, targets, int(3200 / share))
+    assert abs(e - 0.5) < 1e-3 and abs(w["c"] - share) < 1e-3
+    # entropy: natural shares of two sources are 0.8 and 0.2; to the power 1/2 they are 2/3 and 1/3
+    two = {"a": 8000, "b": 2000}
+    want = -(2 / 3 * np.log(2 / 3) + 1 / 3 * np.log(1 / 3))
+    w, budget, e = MI.plan(two, {"a": (0.5, 1), "b": (0.5, 2)}, goal_entropy=want)
+    assert abs(e - 0.5) < 1e-6 and abs(w["a"] - 2 / 3) < 1e-6 and budget == int(min(8000 / w["a"], 4000 / w["b"]))
+    w, _, e = MI.plan(two, {"a": (2 / 3, 1), "b": (1 / 3, 2)}, goal_entropy="targets")
+    assert abs(e - 0.5) < 1e-6
+    w, _, e = MI.plan(two, {"a": (16 / 17, 1), "b": (1 / 17, 2)}, goal_entropy="targets")
+    assert abs(e - 2.0) < 1e-6 and abs(w["a"] - 16 / 17) < 1e-6  # a lower entropy than the natural one: exponent over 1
+    w, budget, e = MI.plan(two, {"a": (0.5, 1), "b": (0.5, 1)}, 10_000, goal_entropy=0.69)
+    assert abs(e - 1.0) < 1e-6 and budget == 10_000  # only the natural shares fit that budget
+
+
 def test_mix(spark):
     docs = [(i, f"text number {i} " + "word " * (i % 40), "a" if i < 300 else "b" if i < 340 else None) for i in range(360)] + [(900, None, "a"), (901, "", "a"), (902, "lone", "c")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string").withColumn("block", F.lit(1))
@@ -175,3 +197,7 @@ def test_mix(spark):
     assert abs(r["a"]["actual_share"] - 0.4) < 0.03 and abs(r["b"]["actual_share"] - 0.6) < 0.03 and r["b"]["repeats"] <= 3.01 and r["none"]["mixed_tokens"] == 0 and r["c"]["mixed_tokens"] == 0
     assert taken.groupBy("source", "pass", "doc_id").count().where("count > 1").count() == 0
     assert MI.mix(d.limit(0), t)[0].count() == 0
+    big = MI.mix(d, t, budget="corpus", blocks=8)[1].where("source in ('a', 'b')").collect()
+    assert all(x["exponent"] < 1 and x["repeats"] <= x["max_repeats"] + 0.01 and abs(x["planned_share"] - x["actual_share"]) < 0.03 for x in big)
+    even = MI.mix(d, t, entropy=np.log(2), blocks=8)[1].where("source in ('a', 'b')").collect()
+    assert all(abs(x["exponent"]) < 1e-3 and abs(x["actual_share"] - 0.5) < 0.05 for x in even)
