@@ -185,5 +185,28 @@ s AS (SELECT keep_row_id, l.row_id, row_number() OVER (PARTITION BY keep_row_id
 SELECT keep_row_id, 'confidence' AS field, row_id AS from_row_id FROM c WHERE r = 1
 UNION ALL SELECT keep_row_id, 'justification', row_id FROM j WHERE r = 1
 UNION ALL SELECT keep_row_id, 'snippet', row_id FROM s WHERE r = 1""",
+    "p6_survivors": _GROUPS
+    + f"""
+, m AS (SELECT keep_row_id, k.* FROM (SELECT keep_row_id, row_id, count(*) OVER (PARTITION BY keep_row_id) AS c FROM g) JOIN kg_inferred k USING (row_id) WHERE c > 1),
+r AS (SELECT source_code, min(trust_rank) AS tr FROM export_sources WHERE source_code IS NOT NULL GROUP BY 1),
+mt AS (SELECT m.*, greatest(1, 100 - coalesce(tr, 100)) AS trust FROM m LEFT JOIN r USING (source_code)),
+c AS (SELECT keep_row_id, confidence, source_code, row_number() OVER (PARTITION BY keep_row_id ORDER BY trust DESC, exported_at DESC NULLS LAST, row_id) AS n
+  FROM mt WHERE confidence IS NOT NULL AND NOT isnan(confidence) AND confidence <> -1),
+j0 AS (SELECT keep_row_id, chunk_id, justification, exported_at AS made_at, row_id, length(trim(justification)) * trust AS worth FROM mt WHERE length(trim(justification)) >= 20),
+j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY keep_row_id, chunk_id ORDER BY worth DESC, made_at DESC NULLS LAST, row_id) AS n FROM j0) WHERE n = 1),
+l AS (SELECT run_id, triple_id, row_id, chunk_id, created_at AS made_at, provenance, list_max([length(e.snippet) FOR e IN provenance IF trim(e.snippet) <> '']) AS len, greatest(1, 100 - coalesce(tr, 100)) AS trust
+  FROM {L5} LEFT JOIN r USING (source_code)),
+s0 AS (SELECT keep_row_id, l.chunk_id, l.made_at, l.row_id, len * trust AS worth, provenance, len FROM (SELECT DISTINCT keep_row_id, run_id, triple_id FROM m) JOIN l USING (run_id, triple_id) WHERE len > 0),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY keep_row_id, chunk_id ORDER BY worth DESC, made_at DESC NULLS LAST, row_id) AS n FROM s0) WHERE n = 1),
+k0 AS (SELECT DISTINCT keep_row_id FROM m),
+jj AS (SELECT keep_row_id, chunk_id, justification, made_at, row_id, worth FROM j UNION ALL SELECT keep_row_id, NULL, NULL, NULL, NULL, 0 FROM k0),
+ss AS (SELECT keep_row_id, chunk_id, provenance, len, made_at, row_id, worth FROM s UNION ALL SELECT keep_row_id, NULL, NULL, NULL, NULL, NULL, 0 FROM k0),
+b AS (SELECT jj.keep_row_id, jj.row_id AS j_row, justification, jj.chunk_id AS j_chunk, ss.row_id AS s_row, [x FOR x IN provenance IF length(x.snippet) = len AND trim(x.snippet) <> ''][1] AS e,
+  row_number() OVER (PARTITION BY jj.keep_row_id ORDER BY jj.worth + ss.worth DESC, jj.row_id IS NULL, jj.worth DESC, jj.made_at DESC NULLS LAST, jj.row_id, ss.row_id IS NULL, ss.worth DESC, ss.made_at DESC NULLS LAST, ss.row_id) AS n
+  FROM jj JOIN ss ON jj.keep_row_id = ss.keep_row_id AND (jj.chunk_id IS NULL OR ss.chunk_id IS NULL OR jj.chunk_id = ss.chunk_id))
+SELECT k.row_id AS keep_row_id, k.doc_id, k.subject.label AS subject_label, k.predicate.label AS predicate_label, k.object.label AS object_label, c.confidence, c.source_code, b.justification, b.j_chunk AS chunk_id,
+  b.e.snippet AS snippet, b.e.chunk_id AS snippet_chunk_id
+FROM k0 JOIN kg_inferred k ON k.row_id = k0.keep_row_id LEFT JOIN c ON c.keep_row_id = k0.keep_row_id AND c.n = 1 JOIN b ON b.keep_row_id = k0.keep_row_id AND b.n = 1
+WHERE c.keep_row_id IS NOT NULL OR b.j_row IS NOT NULL OR b.s_row IS NOT NULL""",
     "p2_ledger": _GROUPS + "SELECT keep_row_id, count(*)::BIGINT AS copies FROM g GROUP BY 1",
 }

@@ -71,3 +71,42 @@ class Trie:
                 if any(now):
                     stack.append((to, now, [s & (b >> 1) for s in sets]))
         return sorted(((d, p) for p, d in found.items()), key=lambda x: (x[0], str(x[1])))
+
+    def abbreviated(self, words: list[tuple[str, bool]], between: str = " ", skipped: str = "aeiouy") -> list:
+        """All payloads of paths whose words are these ones, written out, clipped or without vowels.
+
+        A word is written out, or lacks the letters ``skipped`` after its first one, or, if marked as clipped and of two
+        letters at least, is the beginning of the path's word. Words of a path are parted by ``between``.
+        """
+        at = {0}
+        for i, (word, clipped) in enumerate(words):
+            after: set[int] = set()
+            for node in at:
+                after |= self._word(node, word, clipped and len(word) >= 2, between, skipped)
+            if i + 1 < len(words):
+                after = {self.next[n][between] for n in after if between in self.next[n]}
+            at = after
+            if not at:
+                return []
+        return sorted({p for n in at for p in self.ends[n]}, key=str)
+
+    def _word(self, node: int, word: str, clipped: bool, between: str, skipped: str) -> set[int]:
+        """The nodes at the end of a path's word that the word stands for."""
+        out: set[int] = set()
+        without = all(x not in skipped for x in word[1:])
+        stack = [(node, 0, False)]  # node, letters used, whether letters were left out
+        while stack:
+            at, used, bare = stack.pop()
+            if used == len(word):
+                if self.ends[at] or between in self.next[at]:
+                    out.add(at)
+                for c, to in self.next[at].items():
+                    if c != between and (clipped and not bare or without and c in skipped):
+                        stack.append((to, used, bare or not clipped))
+                continue
+            for c, to in self.next[at].items():
+                if c == word[used]:
+                    stack.append((to, used + 1, bare))
+                elif used and without and c in skipped:
+                    stack.append((to, used, True))
+        return out

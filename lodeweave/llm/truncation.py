@@ -34,6 +34,8 @@ ENDED = r"[.!?][\"'»”’)\]]*\s*$"
 BROKEN = r"(\x{FFFD}|…|\.\.\.|\[\.*|\[…)\]?\s*$"
 #: Share of a source's unended texts, and least length, that make a length a limit.
 PILE, LEAST_LIMIT = 0.15, 60
+#: Sentences with a given beginning that end in a full stop, as a share of those left open, up to which they are a form without one.
+FORM = 0.05
 
 
 def tokens(text: str) -> list[str]:
@@ -103,7 +105,7 @@ def prefix_trie(vocabulary: DataFrame) -> DataFrame:
 
 
 def last_contexts(texts: DataFrame) -> DataFrame:
-    """Adds ``begin, before, word, dangling`` of the last word to texts without a sentence's end."""
+    """Adds ``begin, before, word, dangling`` of the last word to texts without a sentence's end, and ``note`` (under three words)."""
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -114,11 +116,11 @@ def last_contexts(texts: DataFrame) -> DataFrame:
                 for end in contexts(toks):
                     pass
                 dangling = bool(toks) and toks[-1] in MARKS or bool(re.search(r"\w\s*[-–(/&]\s*$", text))
-                out.append((*(end[:3] if end else (None, None, None)), dangling))
-            yield pdf.assign(begin=[o[0] for o in out], before=[o[1] for o in out], word=[o[2] for o in out], dangling=[o[3] for o in out])
+                out.append((*(end[:3] if end else (None, None, None)), dangling, sum(x[0].isalnum() or x[0] == "#" for x in toks) < 3))
+            yield pdf.assign(**{c: [o[k] for o in out] for k, c in enumerate(("begin", "before", "word", "dangling", "note"))})
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
-    return texts.mapInPandas(last, f"{schema}, begin string, before string, word string, dangling boolean")
+    return texts.mapInPandas(last, f"{schema}, begin string, before string, word string, dangling boolean, note boolean")
 
 
 def find_truncated(texts: DataFrame) -> DataFrame:
@@ -138,7 +140,7 @@ def find_truncated(texts: DataFrame) -> DataFrame:
     spread = rows.groupBy("tbl", "source_code", "size").agg(F.count("*").alias("at"))
     per_source = spread.groupBy("tbl", "source_code").agg(F.sum("at").alias("all"))
     limits = spread.join(per_source.withColumnRenamed("source_code", "sc").withColumnRenamed("tbl", "tb"), (F.col("tbl") == F.col("tb")) & F.col("source_code").eqNullSafe(F.col("sc")))
-    limits = limits.where((F.col("at") >= PILE * F.col("all")) & (F.col("at") >= 10) & (F.col("size") >= LEAST_LIMIT)).select("tbl", "source_code", "size", F.lit(True).alias("limit"))
+    limits = limits.where((F.col("at") >= PILE * F.col("all")) & (F.col("at") >= 10) & (F.col("size") >= LEAST_LIMIT)).select("tb", "sc", F.col("size").alias("sz"), F.lit(True).alias("limit"))
 
     ends = rows.where("not broken").groupBy("begin", "before", "word").agg(F.count("*").alias("open"))
     vocabulary = stats.groupBy("word").agg(F.sum("goes_on").alias("w_on"), F.sum("ends").alias("w_end"))
@@ -166,8 +168,9 @@ def find_truncated(texts: DataFrame) -> DataFrame:
     # a form that never has a full stop ("Heading 5: ...") is complete where many of its texts end
     unknown = (n("w_on") + n("w_end") == 0) & F.coalesce(F.col("is_prefix"), F.lit(False))
     verdict = (
-        F.when(unknown | (n("t_on") + n("t_end") == 0) & F.coalesce("begun", F.lit(False)), True)
-        .when((n("g_end") == 0) & (n("g_open") >= 5), n("goes_on") > 4 * F.col("open"))
+        F.when(unknown, True)
+        .when((n("t_on") + n("t_end") == 0) & F.coalesce("begun", F.lit(False)), True)
+        .when((n("g_end") <= FORM * n("g_open")) & (n("g_open") >= 5), n("goes_on") > 4 * F.col("open"))
         .when(n("goes_on") + n("ends") >= 2, goes_on("goes_on", "ends"))
         .when((n("t_on") + n("t_end") == 0) & (n("t_open") >= 5) & (n("n_begins") >= 3), False)
         .when((n("b_on") + n("b_end") >= 3) & ~F.col("word").startswith("#"), goes_on("b_on", "b_end"))
@@ -177,7 +180,8 @@ def find_truncated(texts: DataFrame) -> DataFrame:
         .when(n("w_on") + n("w_end") > 0, goes_on("w_on", "w_end"))
         .otherwise(n("g_end") > 0)
     )
-    judged = known.select("begin", "before", "word", verdict.alias("verdict"))
-    flagged = salted_join(rows, judged, ["begin", "before", "word"], F.struct("row_id", "ev_pos"), how="left").join(limits, ["tbl", "source_code", "size"], "left")
-    cut_off = F.col("broken") | F.col("dangling") | F.coalesce("limit", F.lit(False)) | F.coalesce("verdict", F.lit(False))
+    judged = known.select("begin", "before", "word", verdict.alias("verdict"), unknown.alias("unknown"))
+    flagged = salted_join(rows, judged, ["begin", "before", "word"], F.struct("row_id", "ev_pos"), ends.withColumnRenamed("open", "n"), how="left")
+    flagged = flagged.join(limits, (F.col("tbl") == F.col("tb")) & F.col("source_code").eqNullSafe(F.col("sc")) & (F.col("size") == F.col("sz")), "left")
+    cut_off = F.col("broken") | F.col("dangling") | F.coalesce("limit", F.lit(False)) | F.coalesce("verdict", F.lit(False)) & (~F.col("note") | F.col("unknown"))
     return flagged.where(cut_off).select("tbl", "row_id", "ev_pos", "source_code")

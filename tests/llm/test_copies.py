@@ -67,9 +67,45 @@ def test_ledger_batches(spark, collect):
     assert {(bytes(r["key"]), r["copies"], r["keep_row_id"]) for r in Ledger(spark, path, 4).read().collect()} == {(b"k1", 3, 1), (b"k2", 1, 9), (b"k3", 1, 2)}
 
 
+def test_ledger_survives_deaths(spark, monkeypatch):
+    """A run that dies before its manifest is in place changes nothing; a batch that comes again counts once."""
+    path = scratch(spark, "d")
+    a = spark.createDataFrame([(b"k%d" % (i % 30), i) for i in range(90)], "key binary, row_id bigint")
+    b = spark.createDataFrame([(b"k1", 1000), (b"new", 1001)], "key binary, row_id bigint")
+    state = lambda: sorted((bytes(r["key"]), r["copies"], r["keep_row_id"]) for r in Ledger(spark, path).read().collect())
+    assert Ledger(spark, path, 4).merge(a, "a") and not Ledger(spark, path).merge(a, "a")
+    before = state()
+    assert len(before) == 30 and before[0] == (b"k0", 3, 0)
+    with monkeypatch.context() as m:
+        m.setattr(Ledger, "_publish", lambda *_: (_ for _ in ()).throw(OSError("died")))
+        for _ in range(2):
+            try:
+                Ledger(spark, path).merge(b, "b")
+                raise AssertionError
+            except OSError:
+                pass
+        assert state() == before
+    with monkeypatch.context() as m:  # dies after the manifest, before old files are removed
+        m.setattr(Ledger, "_tidy", lambda *_: (_ for _ in ()).throw(OSError("died")))
+        try:
+            Ledger(spark, path).merge(b, "b")
+        except OSError:
+            pass
+    assert not Ledger(spark, path).merge(b, "b") and len(state()) == 31 and (b"k1", 4, 1) in state()
+    ledger = Ledger(spark, path)
+    assert ledger.buckets == 4 and ledger.manifest()["delta"] is not None  # two keys are no tenth of thirty
+    base = ledger.manifest()["base"]
+    assert ledger.merge(spark.createDataFrame([(b"n%d" % i, 2000 + i) for i in range(9)], "key binary, row_id bigint"), "c")
+    assert ledger.manifest()["delta"] is None and ledger.manifest()["base"] != base and len(state()) == 40
+    plan = ledger._joined(ledger._level(ledger.manifest()["base"]), b.groupBy("key").agg(F.count("*").alias("copies"), F.min("row_id").alias("keep_row_id")))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    ledger.drop()
+
+
 def test_branch_and_bound_equals_brute_force():
     rnd = random.Random(2)
-    for _ in range(200):
+    for n in range(300):
+        weighed = n % 2 == 0
         bundles = [[(float(rnd.randrange(4)), rnd.randrange(3), -i, rnd.choice([None, "x", "y"])) for i in range(rnd.randrange(4))] for _ in range(3)]
         rules = [(1, 2)] if rnd.random() < 0.7 else []
         ranked = [sorted(b, reverse=True, key=lambda c: c[:3]) for b in bundles]
@@ -77,10 +113,11 @@ def test_branch_and_bound_equals_brute_force():
         def worth(pick):
             if any(pick[i] and pick[j] and pick[i][3] and pick[j][3] and pick[i][3] != pick[j][3] for i, j in rules):
                 return -1.0
-            return sum(1.0 / (ranked[i].index(c) + 1) for i, c in enumerate(pick) if c)
+            return sum(c[0] if weighed else len(ranked[i]) - ranked[i].index(c) for i, c in enumerate(pick) if c)
 
-        best = max(worth((a, b, c)) for a in [None, *ranked[0]] for b in [None, *ranked[1]] for c in [None, *ranked[2]])
-        assert abs(worth(tuple(branch_and_bound(bundles, rules))) - best) < 1e-9
+        picks = [(a, b, c) for a in [*ranked[0], None] for b in [*ranked[1], None] for c in [*ranked[2], None]]
+        best = max(map(worth, picks))
+        assert tuple(branch_and_bound(bundles, rules, weighed)) == next(p for p in picks if worth(p) == best)
 
 
 def test_choose(spark, collect):
@@ -92,7 +129,7 @@ def test_choose(spark, collect):
     df = spark.createDataFrame(rows, KG)
     src = spark.createDataFrame([("top", 1), ("low", 5), (None, 0)], "source_code string, trust_rank int")
     l5 = spark.createDataFrame([(10, "r1", "t", "c", ["", "ab"], 0), (11, "r2", "t", "c", ["abc", None], 1), (12, "r2", "t", "c", ["abd"], 2), (13, "q", "t", "c", ["longest of all"], 0), (14, "none", "t", "c", None, 0)], "row_id bigint, run_id string, triple_id string, chunk_id string, s array<string>, d int")
-    l5 = l5.select("row_id", "run_id", "triple_id", "chunk_id", F.transform("s", lambda x: F.struct(x.alias("snippet"), F.lit("c").alias("chunk_id"))).alias("provenance"), F.expr("timestampadd(DAY, d, timestamp'2024-01-01')").alias("created_at"))
+    l5 = l5.select("row_id", "run_id", "triple_id", "chunk_id", F.transform("s", lambda x: F.struct(x.alias("snippet"), F.lit("c").alias("chunk_id"))).alias("provenance"), F.lit("top").alias("source_code"), F.expr("timestampadd(DAY, d, timestamp'2024-01-01')").alias("created_at"))
     assert collect(choose(df, l5, src)) == sorted([(1, "confidence", 2), (1, "justification", 2), (1, "snippet", 12)], key=str)
     assert choose(df.limit(0), l5, src).count() == 0 and choose(df, l5.limit(0), src).where("field = 'snippet'").count() == 0
     got = {r["keep_row_id"]: r for r in survivors(df, l5, src).collect()}

@@ -36,7 +36,26 @@ def test_automaton_equals_brute_force(entries, query, most):
     ],
 )
 def test_lookup(label, want):
-    assert Catalog(ENTRIES).lookup(label)[1] == want
+    assert Catalog(ENTRIES, {("rel",), ("xq",), ("has", "been")}, {("auto",)}).lookup(label)[1] == want
+
+
+def test_all_entries_within_the_distance():
+    found = Catalog([(1, "causes", None), (2, "caused", None), (3, "cures", None), (4, "pauses", None)]).lookup("causes")
+    assert found == ([(0.0, 1), (1.0, 2), (1.0, 4)], 1)
+
+
+def test_abbreviated_words():
+    trie = Trie().extend([("manufactured by", 1), ("maintained by", 2), ("met à l'arrêt", 3)])
+    assert trie.abbreviated([("ma", True), ("by", False)]) == [1, 2] and trie.abbreviated([("mntnd", False), ("by", False)]) == [2]
+    assert trie.abbreviated([("manufact", False), ("by", False)]) == [] and trie.abbreviated([("manufact", True)]) == [] and trie.abbreviated([("m", True), ("by", False)]) == []
+
+
+def test_decorations_are_learned(spark):
+    cat = spark.createDataFrame(ENTRIES, "canon_id bigint, canon_label string, canon_label_fr string")
+    labels = [f"{d}{x}" for x in ("causes", "stops", "maintained by", "manufactured by") for d in ("zz: ", "possibly ", "not ")] + ["vivid: causes", "zz: cuases", "possibly cosus", "ZZTopCauses", "stops indeed", "causes indeed", "stps indeed"]
+    got = {r["label"]: r["canon_id"] for r in map_labels(spark.createDataFrame([(x,) for x in labels], "label string"), cat).collect()}
+    assert got["zz: cuases"] == 1 and got["possibly stops"] == 4 and got["not causes"] == got["not stops"] == -1
+    assert got["vivid: causes"] == -1 and got["stps indeed"] == -1  # seen with too few entries
 
 
 def test_tie_is_none():

@@ -70,6 +70,14 @@ def test_short_passages_and_halves(spark):
     assert {tuple(r) for r in LE.find_leaks(d, e, block_words=300).collect()} >= want
 
 
+def test_long_passage(spark):
+    rnd = random.Random(9)
+    p = [f"{rnd.choice(WORDS)}{rnd.randrange(99)}" for _ in range(6000)]
+    d = spark.createDataFrame([(1, " ".join(["zz"] * 50 + p[1500:4600])), (2, " ".join(p[1500:4300])), (3, " ".join(WORDS * 50))], "doc_id bigint, text string")
+    e = spark.createDataFrame([(7, " ".join(p))], "item_id bigint, passage string")
+    assert [tuple(r) for r in LE.find_leaks(d, e).collect()] == [(1, 7)]
+
+
 def test_the_corpus_is_read_once(spark):
     e = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(300)], "item_id bigint, passage string")
     d = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(15))) for i in range(40)], "doc_id bigint, text string")
@@ -106,6 +114,15 @@ def test_truncation_by_length(spark):
     limit = [("k", 100 + i, -1, "s", f"Alpha beta {'gamma ' * 12}delta ended here"[:90].ljust(90, "x")) for i in range(20)]
     got = {r["row_id"] for r in find_truncated(spark.createDataFrame(base + limit, "tbl string, row_id bigint, ev_pos int, source_code string, text string")).collect()}
     assert got == set(range(100, 120))
+    none = [(a, b, c, None, t) for a, b, c, _, t in base + limit]  # rows without a source have a limit too
+    assert {r["row_id"] for r in find_truncated(spark.createDataFrame(none, "tbl string, row_id bigint, ev_pos int, source_code string, text string")).collect()} == set(range(100, 120))
+
+
+def test_notes_and_forms_without_full_stop_are_whole(spark):
+    full = [f"Table row {i} links pump {i} to motor {i}. In the same row it is written that the filter was clogged." for i in range(40)]
+    notes = ["n/a"] * 30 + [f"Label pair {a} and {b}" for a in ("worn seal", "shaft seal", "pump") for b in ("worn seal", "shaft seal", "motor", "pump 7")]
+    rows = [("k", i, -1, "s", t) for i, t in enumerate(full + notes)] + [("k", 900, -1, "s", "Table row 5 links pump 5 to motor 5. In the same row it is writ")]
+    assert {r["row_id"] for r in find_truncated(spark.createDataFrame(rows, "tbl string, row_id bigint, ev_pos int, source_code string, text string")).collect()} == {900}
 
 
 AREAS = {"law": ["court", "judge", "claim", "statute", "appeal"], "sport": ["match", "goal", "team", "coach", "league"], "medicine": ["patient", "fever", "ward", "dose", "nurse"]}
