@@ -1,11 +1,12 @@
 """Subject areas of documents from labelling functions whose accuracy is learned.
 
-Each sentence gets votes of five labelling functions: a lexicon learned from hand-labelled
-documents, a lexicon of the areas' descriptions, addresses in the sentence, the section around it,
-and the document's source. A latent model then learns, by expectation maximisation over the counts
+Each sentence gets votes of five labelling functions that look at different things: its words, by a
+lexicon learned from hand-labelled documents; its words, by the areas' descriptions; the domains of the
+addresses in it; its section, by the heading's words or else by the words of the two sentences on either side; and
+the document's source. A latent model then learns, by expectation maximisation over the counts
 of all vote patterns of all sentences, how often each function abstains and how often it is right,
 and gives each pattern posterior probabilities of the areas (or of none). A document has the areas
-that make up at least a fifth of its sentences.
+that make up at least a fifth of its sentences, by the sum of the posterior probabilities to the nearest whole sentence.
 
 The first lexicon is fitted on at most ``MOST_LABELLED`` labelled documents, chosen by the hash of
 their id (a bounded sample; every other count covers all documents). Page furniture has no full
@@ -31,10 +32,12 @@ MOST_LABELLED = 1500
 MARGIN, SHARE, FUNCTIONS = 2.5, 0.2, 5
 
 _BREAK = re.compile(r"(?<=\w)[-‐]\s*\n\s*(?:[>|*#]+\s*)?(?=[a-zà-ÿ])")
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
+#: A line without marks that end or part a sentence, at the text's beginning or after an empty line.
+_HEADING = re.compile(r"(?:\A|(?<=\n\n)|(?<=\n \n))([^\W_][^\n.!?:;,]{0,98})(?=\n)")
 _END = re.compile(r"[.!?][\"'»”)\]]*\s+(?=[\"«“(]?[A-ZÀ-Ý])")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+")
+_DOMAIN = re.compile(r"(?:https?://|www\.|@)(?:[\w-]+\.)*([\w-]+\.[a-z]{2,})", re.I)
 _LOSS = re.compile("[­​‌‍⁠﻿]")
 
 
@@ -57,15 +60,26 @@ def repaired(text: str) -> str:
     return t
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences that end in a full stop, or have at least six words; headings and page numbers join the next one."""
-    out = []
-    parts = _END.split(re.sub(r"\s+", " ", repaired(text)))
+def sentences(text: str, headings: list[str] | None = None) -> list[str]:
+    """Sentences that end in a full stop, or have at least six words; headings and page numbers join the next one.
+
+    ``headings`` gets the last heading before each sentence ('' for none).
+    """
+    out, heading = [], ""
+    plain = repaired(text)
+    if headings is not None and "\n" in plain:
+        plain = _HEADING.sub("\x02\\1\x03", plain)
+    parts = _END.split(re.sub(r"\s+", " ", plain))
     for i, s in enumerate(parts):
+        if "\x03" in s:
+            heading = s[s.rfind("\x02") + 1 : s.rfind("\x03")]
+            s = s.replace("\x02", "").replace("\x03", "")
         s = s.strip()
         n = len(_WORD.findall(s))
         if n >= 6 or n >= 3 and (i + 1 < len(parts) or s[-1:] in ".!?"):
             out.append(s)
+            if headings is not None:
+                headings.append(heading)
     return out
 
 
@@ -141,9 +155,10 @@ def described_words(rows: list[tuple[str, str, str]]) -> dict[str, list[str]]:
 class Voter:
     """The labelling functions."""
 
-    def __init__(self, ids: dict[str, int], weight: np.ndarray, described: dict[str, list[str]], areas: list[str], by_source: dict[str, int]) -> None:
-        self.ids, self.k, self.by_source = ids, len(areas), by_source
+    def __init__(self, ids: dict[str, int], weight: np.ndarray, described: dict[str, list[str]], areas: list[str], by_source: dict[str, int], by_domain: dict[str, int]) -> None:
+        self.ids, self.k, self.by_source, self.by_domain = ids, len(areas), by_source, by_domain
         self.weight = np.concatenate([weight, np.zeros((1, weight.shape[1]))]).astype(np.float32)
+        self.heading: dict[str, int] = {}
         self.described = {w: k + 1 for k, a in enumerate(areas) for w in described.get(a, [])}
         clash = Counter(w for a in areas for w in described.get(a, []))
         self.described = {w: k for w, k in self.described.items() if clash[w] == 1}
@@ -152,10 +167,12 @@ class Voter:
         """One list per document with the votes of each sentence; 0 is an abstention."""
         none = len(self.weight) - 1
         flat: list[int] = []
-        starts, per_doc, second, third = [], [], [], []
+        starts, per_doc, second, third, fourth = [], [], [], [], []
         for t in texts:
-            ss = sentences(t) if t else []
+            heads: list[str] = []
+            ss = sentences(t, heads) if t else []
             per_doc.append(len(ss))
+            fourth += [self.section(h) if h else 0 for h in heads]
             for s in ss:
                 ws = set(bag(s))
                 starts.append(len(flat))
@@ -175,18 +192,33 @@ class Voter:
             for i in range(n):
                 near = [x for x in own[max(0, i - 2) : i] + own[i + 1 : i + 3] if x]
                 top = Counter(near).most_common(1)
-                section = top[0][0] if top and top[0][1] * 2 > len(near) else 0
+                section = fourth[at + i] or (top[0][0] if top and top[0][1] * 2 > len(near) else 0)
                 out.append((own[i], second[at + i], third[at + i], section, self.by_source.get(source or "", 0)))
             at += n
             yield out
 
     def address(self, sentence: str) -> int:
-        none = len(self.weight) - 1
-        ws = [self.ids.get(w, none) for m in _ADDRESS.findall(sentence) for w in bag(re.sub(r"[./@:_-]", " ", m))]
-        if not ws:
-            return 0
-        score = self.weight[ws].sum(axis=0)
-        return int(score.argmax()) + 1 if np.sort(score)[-1] - np.sort(score)[-2] >= MARGIN else 0
+        """The area of the domains in a sentence, if they agree."""
+        found = {self.by_domain.get(d.lower(), 0) for d in _DOMAIN.findall(sentence)} - {0}
+        return found.pop() if len(found) == 1 else 0
+
+    def section(self, heading: str) -> int:
+        """The area of a heading's words by the learned lexicon."""
+        if heading not in self.heading:
+            if len(self.heading) > 50_000:
+                self.heading.clear()
+            ws = [self.ids[w] for w in set(bag(heading)) if w in self.ids]
+            score = np.sort(self.weight[ws].sum(axis=0)) if ws else np.zeros(2)
+            self.heading[heading] = int(self.weight[ws].sum(axis=0).argmax()) + 1 if ws and self.k > 1 and score[-1] - score[-2] >= MARGIN else 0
+        return self.heading[heading]
+
+
+def mostly(pairs: list[tuple[str, int]], least: int = 5) -> dict[str, int]:
+    """What each key stands for, if it is seen ``least`` times and one area makes up half of that."""
+    seen: dict[str, Counter] = {}
+    for key, area in pairs:
+        seen.setdefault(key, Counter())[area] += 1
+    return {k: c.most_common(1)[0][0] for k, c in seen.items() if sum(c.values()) >= least and c.most_common(1)[0][1] >= 0.5 * sum(c.values())}
 
 
 def learn_accuracies(patterns: np.ndarray, counts: np.ndarray, k: int, rounds: int = 60) -> np.ndarray:
@@ -230,7 +262,7 @@ def learn_accuracies(patterns: np.ndarray, counts: np.ndarray, k: int, rounds: i
 def assign(documents: DataFrame, labels: DataFrame, areas: DataFrame, most: int = MOST_LABELLED, share: float = SHARE) -> DataFrame:
     """``(doc_id, area_code, n_area, n_sentences)`` for the areas that make up the share wanted."""
     spark = documents.sparkSession
-    rows = sorted((r[0], r[1], r[2]) for r in areas.select("area_code", "area_name", "description").where("area_code is not null").limit(1000).collect())
+    rows = sorted((r[0], r[1], r[2]) for r in areas.select("area_code", "area_name", "description").where("area_code is not null").distinct().collect())  # the list of areas, which the lexicon has a column for each of
     codes = [r[0] for r in rows]
     k = len(codes)
     known = labels.select("doc_id", F.lower(F.trim("area_code")).alias("area_code")).where(F.col("area_code").isin(codes)).distinct()
@@ -238,11 +270,11 @@ def assign(documents: DataFrame, labels: DataFrame, areas: DataFrame, most: int
     train = documents.select("doc_id", "text", "source").where("text is not null").join(sample, "doc_id").orderBy("doc_id").collect()  # at most ``most`` documents
     described = described_words(rows)
     ids, weight = fit_lexicon([(r["text"], list(r["labels"])) for r in train], codes, described)
-    seen: dict[str, Counter] = {}
-    for r in train:
-        seen.setdefault(r["source"] or "", Counter()).update(codes.index(a) + 1 for a in r["labels"])
-    by_source = {s: c.most_common(1)[0][0] for s, c in seen.items() if sum(c.values()) >= 5 and c.most_common(1)[0][1] >= 0.5 * sum(c.values())}
-    shared = spark.sparkContext.broadcast((ids, weight, described, codes, by_source))
+    of = lambda r: [codes.index(a) + 1 for a in r["labels"]]
+    by_source = mostly([(r["source"] or "", a) for r in train for a in of(r)])
+    by_domain = mostly([(d.lower(), a) for r in train for d in set(_DOMAIN.findall(r["text"])) for a in of(r)])
+    shared = spark.sparkContext.broadcast((ids, weight, described, codes, by_source, by_domain))
+    doc_type = documents.schema["doc_id"].dataType.simpleString()
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voter = Voter(*shared.value)
@@ -258,15 +290,15 @@ def assign(documents: DataFrame, labels: DataFrame, areas: DataFrame, most: int
                         out.append((doc, code, n))
                 yield pd.DataFrame(out, columns=["doc_id", "pattern", "n"])
 
-    votes = cut(documents.select("doc_id", "text", "source").where("text is not null").mapInPandas(vote, "doc_id bigint, pattern bigint, n bigint"))
+    votes = cut(documents.select("doc_id", "text", "source").where("text is not null").mapInPandas(vote, f"doc_id {doc_type}, pattern bigint, n bigint"))
     found = votes.groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most (areas + 1) ^ functions, whatever the corpus
     if not found:
-        return spark.createDataFrame([], "doc_id bigint, area_code string, n_area bigint, n_sentences bigint")
+        return spark.createDataFrame([], f"doc_id {doc_type}, area_code string, n_area double, n_sentences bigint")
     codes_seen = np.array([r["pattern"] for r in found])
     digits = np.stack([(codes_seen // (k + 1) ** j) % (k + 1) for j in range(FUNCTIONS - 1, -1, -1)], axis=1)
     post = learn_accuracies(digits, np.array([r["n"] for r in found], float), k)
-    meant = [(int(p), None if a == 0 else codes[a - 1]) for p, a in zip(codes_seen, post.argmax(axis=1))]
-    verdict = spark.createDataFrame(meant, "pattern bigint, area_code string")
-    per_area = votes.join(verdict, "pattern", "left").groupBy("doc_id", "area_code").agg(F.sum("n").alias("n_area"))
+    meant = [(int(p), codes[a - 1], float(post[i, a])) for i, p in enumerate(codes_seen) for a in range(1, k + 1) if post[i, a] > 1e-6]
+    verdict = spark.createDataFrame(meant, "pattern bigint, area_code string, p double")
+    per_area = votes.join(verdict, "pattern").groupBy("doc_id", "area_code").agg(F.sum(F.col("n") * F.col("p")).alias("n_area"))
     whole = votes.groupBy("doc_id").agg(F.sum("n").alias("n_sentences"))
-    return per_area.where("area_code is not null").join(whole, "doc_id").where(F.col("n_area") >= share * F.col("n_sentences") - 1e-9).select("doc_id", "area_code", "n_area", "n_sentences")
+    return per_area.join(whole, "doc_id").where((F.round("n_area") >= 1) & (F.round("n_area") >= share * F.col("n_sentences") - 1e-9)).select("doc_id", "area_code", "n_area", "n_sentences")

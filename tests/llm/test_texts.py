@@ -166,6 +166,16 @@ def test_accuracies_are_learned():
     assert (post.argmax(axis=1)[inv.ravel()] == y).mean() > 0.93
 
 
+def test_functions_look_at_different_things():
+    ids = {w: i for i, w in enumerate(sum(AREAS.values(), []))}
+    weight = np.zeros((15, 3))
+    weight[np.arange(15), np.arange(15) // 5] = 4.0
+    voter = SA.Voter(ids, weight, {"law": ["statutes"], "sport": ["games"], "medicine": []}, list(AREAS), {"press": 3}, {"fifa.com": 2})
+    text = "Goal of the team\nIt was seen on day 4 that all were late again.\n\nNotes\nSee https://www.fifa.com/x or statutes for the court in June."
+    assert list(voter.votes([text, None], ["press", "zz"])) == [[(0, 0, 0, 2, 3), (1, 1, 2, 0, 3)], []]
+    assert SA.mostly([("a", 1)] * 5 + [("b", 2)] * 4 + [("c", 1), ("c", 2), ("c", 3)] * 2) == {"a": 1}
+
+
 def test_repair():
     assert SA.repaired("<div>dÃ©faut</div>de-\nbut").split() == ["défaut", "debut"]
     assert len(SA.sentences("Page 3 / 9\nThe pump of the line failed again. The valve of the line was shut, too. - 9 -")) == 2
