@@ -63,23 +63,23 @@ def repaired(text: str) -> str:
 def sentences(text: str, headings: list[str] | None = None) -> list[str]:
     """Sentences that end in a full stop, or have at least six words; headings and page numbers join the next one.
 
-    ``headings`` gets the last heading before each sentence ('' for none).
+    ``headings`` gets the last heading before each sentence ('' for none), which is then left out of the sentence.
     """
-    out, heading = [], ""
+    out, seen = [], [""]
+    at = 0
     plain = repaired(text)
     if headings is not None and "\n" in plain:
-        plain = _HEADING.sub("\x02\\1\x03", plain)
+        plain = _HEADING.sub(lambda m: seen.append(m[1]) or m[1] + "\x03", plain.replace("\x03", " "))
     parts = _END.split(re.sub(r"\s+", " ", plain))
     for i, s in enumerate(parts):
         if "\x03" in s:
-            heading = s[s.rfind("\x02") + 1 : s.rfind("\x03")]
-            s = s.replace("\x02", "").replace("\x03", "")
-        s = s.strip()
+            at += s.count("\x03")
         n = len(_WORD.findall(s))
+        s = s.rpartition("\x03")[2].strip()  # a heading's words are the section's, not the sentence's
         if n >= 6 or n >= 3 and (i + 1 < len(parts) or s[-1:] in ".!?"):
             out.append(s)
             if headings is not None:
-                headings.append(heading)
+                headings.append(seen[at])
     return out
 
 
