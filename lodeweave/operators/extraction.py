@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions.normalizers import by_alias, grouping, profile_key, spacing
 from lodeweave.operators.keys import dedup_strings, keep_first
+from lodeweave.session import rows_up_to
 
 #: Field names of records and the roles they stand for.
 ROLE_ALIASES = {
     "alarm_label": "alarm", "label": "alarm", "message_label": "message", "actor": "responsible", "responsible_actor": "responsible",
     "technical_reference": "reference", "ref": "reference", "action": "intervention", "corrective_action": "intervention",
 }
+#: Terms of a lexicon that are broadcast at most.
+SMALL_LEXICON = 100_000
 FIELDS = ("cause", "effect", "intervention", "responsible", "reference")
 
 
@@ -50,11 +53,17 @@ def lexicon_expressions(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     ``chunks(doc_id, chunk_id, chunk, start_char)`` and ``lexicon(term, label)``. A chunk's runs of words, of
     the lengths that terms have, are joined with the terms' words by equality, so no text is compared with
-    every term.
+    every term. A lexicon of at most ``SMALL_LEXICON`` terms is broadcast; with a larger one only the runs are
+    shuffled, and the chunks' texts join the hits.
     """
     terms = lexicon.select(F.lower(F.trim("term")).alias("term"), F.array_join(words(F.trim("term")), " ").alias("g"), "label").distinct()
-    grams = chunks.withColumn("w", words(F.col("chunk"))).withColumn("g", F.explode(word_grams(F.col("w"), word_lengths(terms, "g")))).drop("w")
-    hits = grams.join(terms, "g").drop("g")
+    lengths = word_lengths(terms, "g")
+    if rows_up_to(terms, SMALL_LEXICON) is not None:
+        hits = chunks.withColumn("w", words(F.col("chunk"))).withColumn("g", F.explode(word_grams(F.col("w"), lengths))).drop("w").join(F.broadcast(terms), "g").drop("g")
+    else:
+        keyed = chunks.withColumn("_key", F.xxhash64("doc_id", "chunk_id", "chunk"))
+        grams = keyed.select("_key", words(F.col("chunk")).alias("w")).distinct().select("_key", F.explode(word_grams(F.col("w"), lengths)).alias("g"))
+        hits = keyed.join(grams.join(terms, "g").drop("g").distinct(), "_key").drop("_key")
     at = locate(F.col("chunk"), F.col("term"))
     return hits.select(
         "doc_id", "chunk_id", F.col("term").alias("text"), "label", at.alias("chunk_start_char"),

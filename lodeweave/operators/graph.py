@@ -8,30 +8,37 @@ from pyspark.sql import functions as F
 from lodeweave.session import cut
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", rounds: int = 64) -> DataFrame:
-    """``(node, ancestor, depth)``: all ancestors with the least number of steps.
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """``(node, ancestor, depth)``: all ancestors with the least number of steps; nodes on a cycle are their own ancestors.
 
-    Paths double in each round; nodes on a cycle are their own ancestors. Only ancestors that are new
-    or nearer are carried on, so cycles end.
+    Paths double in each round: only the pairs found last are joined with all found so far. It ends when none is new.
     """
     step = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct().withColumn("depth", F.lit(1))
-    reach = cut(step)
-    for _ in range(rounds):
-        far = reach.select(F.col("node"), F.col("ancestor").alias("via"), F.col("depth").alias("d1")).join(reach.select(F.col("node").alias("via"), "ancestor", F.col("depth").alias("d2")), "via")
-        new = reach.unionByName(far.select("node", "ancestor", (F.col("d1") + F.col("d2")).alias("depth"))).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-        new = cut(new)
-        same = new.join(reach, ["node", "ancestor", "depth"], "left_anti").limit(1).count() == 0
-        reach = new
-        if same:
-            break
+    reach = last = cut(step, loop=True)
+    while last.limit(1).count():
+        far = last.select("node", F.col("ancestor").alias("via"), F.col("depth").alias("d1")).join(reach.select(F.col("node").alias("via"), "ancestor", F.col("depth").alias("d2")), "via")
+        found = far.groupBy("node", "ancestor").agg(F.min(F.col("d1") + F.col("d2")).alias("depth"))
+        last = cut(found.join(reach.select("node", "ancestor"), ["node", "ancestor"], "left_anti"), loop=True)
+        reach = cut(reach.unionByName(last), loop=True)
     return reach
 
 
 def depths(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """``(node, depth)``: the longest way to a root without a cycle, 0 for roots; nodes that only lead into cycles have the length of the way."""
-    c = closure(edges, child, parent).where("node <> ancestor")
-    nodes = edges.select(F.col(child).alias("node")).unionByName(edges.select(F.col(parent).alias("node"))).where("node is not null").distinct()
-    return nodes.join(c.groupBy("node").agg(F.max("depth").alias("depth")), "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
+    """``(node, depth)``: the longest way from a root, 0 for roots; links between nodes of one cycle are left out.
+
+    A round passes the depths that grew on to the children; there are as many as the longest way has steps.
+    """
+    e = edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).where("node is not null and up is not null").distinct()
+    loops = closure(edges, child, parent).select(F.col("node").alias("up"), F.col("ancestor").alias("node"))
+    down = cut(e.join(loops, ["node", "up"], "left_anti"), loop=True)
+    nodes = cut(edges.select(F.col(child).alias("node")).unionByName(edges.select(F.col(parent).alias("node"))).where("node is not null").distinct(), loop=True)
+    deep = cut(nodes.withColumn("depth", F.lit(0)), loop=True)
+    front = deep
+    while front.limit(1).count():
+        reached = down.join(front.withColumnRenamed("node", "up"), "up").groupBy("node").agg((F.max("depth") + 1).alias("new"))
+        front = cut(deep.join(reached, "node").where("new > depth").select("node", F.col("new").alias("depth")), loop=True)
+        deep = cut(deep.join(front.withColumnRenamed("depth", "new"), "node", "left").select("node", F.coalesce("new", "depth").alias("depth")), loop=True)
+    return deep
 
 
 def on_cycles(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
@@ -43,18 +50,18 @@ def orphans(nodes: DataFrame, edges: DataFrame, child: str = "child") -> DataFra
     return nodes.select("node").distinct().join(edges.select(F.col(child).alias("node")).distinct(), "node", "left_anti")
 
 
-def levels(edges: DataFrame, root: str, rounds: int = 100) -> DataFrame:
-    """``(node, level)``: steps from a root along undirected edges; nodes that cannot be reached have none."""
+def levels(edges: DataFrame, root: str | DataFrame) -> DataFrame:
+    """``(node, level)``: steps from a root (or the rows of ``root(node)``) along undirected edges; nodes that cannot be reached have none."""
     e = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a is not null and b is not null")
-    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), loop=True)
     nodes = both.select(F.col("a").alias("node")).distinct()
-    seen = cut(nodes.where(F.col("node") == root).withColumn("level", F.lit(0)))
-    front = seen
-    for k in range(1, rounds + 1):
-        front = cut(front.select(F.col("node").alias("a")).join(both, "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(k)))
-        if not front.limit(1).count():
-            break
-        seen = seen.unionByName(front)
+    first = nodes.where(F.col("node") == root) if isinstance(root, str) else nodes.join(root.select("node"), "node", "left_semi")
+    seen = front = cut(first.withColumn("level", F.lit(0)), loop=True)
+    k = 0
+    while front.limit(1).count():
+        k += 1
+        front = cut(front.select(F.col("node").alias("a")).join(both, "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(k)), loop=True)
+        seen = cut(seen.unionByName(front), loop=True)
     return nodes.join(seen, "node", "left").select("node", "level")
 
 
@@ -65,10 +72,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def root(edges: DataFrame, preferred: str | None = None) -> DataFrame:
-    """One node: the first whose name contains the text preferred, else the one with the highest 3 * out - 2 * in + degree."""
+    """One node: the first whose name contains the text preferred, else the one with the highest 3 * out - 2 * in + degree; ties go to the last name."""
     d = degrees(edges).withColumn("score", 3 * F.col("out_degree") - 2 * F.col("in_degree") + F.col("degree"))
     liked = F.lower("node").contains(preferred.lower()) if preferred else F.lit(False)
-    return d.agg(F.max_by("node", F.struct(liked, "score", F.col("degree"))).alias("node"))
+    return d.agg(F.max_by("node", F.struct(liked, "score", F.col("degree"), F.col("node"))).alias("node"))
 
 
 def confident_edges(edges: DataFrame, least: float = 0.0) -> DataFrame:
@@ -143,13 +150,31 @@ def ontology_rdf(concepts: DataFrame, relations: DataFrame, links: DataFrame, ax
     return c.unionByName(r).unionByName(li).unionByName(a).distinct()
 
 
-def ntriples(rows: DataFrame) -> DataFrame:
-    """``(value)``: statements as lines of N-Triples."""
+def _term() -> Column:
+    """The object of a statement in N-Triples and Turtle."""
     esc = F.col("o")
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         esc = F.replace(esc, F.lit(a), F.lit(b))
-    obj = F.when(F.col("o_is_literal"), F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(F.concat(F.lit("<"), F.col("o"), F.lit(">")))
-    return rows.select(F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), obj, F.lit(" .")).alias("value"))
+    return F.when(F.col("o_is_literal"), F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(F.concat(F.lit("<"), F.col("o"), F.lit(">")))
+
+
+def ntriples(rows: DataFrame) -> DataFrame:
+    """``(value)``: statements as lines of N-Triples."""
+    return rows.select(F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), _term(), F.lit(" .")).alias("value"))
+
+
+def turtle(rows: DataFrame) -> DataFrame:
+    """``(value)``: statements as Turtle, one block per subject, its types first (as ``a``), the rest in order.
+
+    IRIs are written in full, so every file of an output is valid on its own. A block is as long as its subject has
+    distinct statements. Null parts are left out.
+    """
+    verb = F.when(F.col("p") == f"{RDF}type", F.lit("a")).otherwise(F.concat(F.lit("<"), F.col("p"), F.lit(">")))
+    one = rows.where("s is not null and p is not null and o is not null").select("s", F.concat(verb, F.lit(" "), _term()).alias("po"))
+    lists = one.groupBy("s").agg(F.collect_set("po").alias("po"))
+    first = lambda kind: F.array_sort(F.filter("po", lambda x: x.startswith("a ") if kind else ~x.startswith("a ")))
+    body = F.array_join(F.concat(first(True), first(False)), " ;\n    ")
+    return lists.select(F.concat(F.lit("<"), F.col("s"), F.lit("> "), body, F.lit(" .")).alias("value"))
 
 
 def ontology_index(rdf: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -62,11 +62,12 @@ def artifact_space(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFram
     sizes = sorted(r[0] for r in q.select(F.least(F.length("low"), F.lit(3))).distinct().collect())  # at most 1, 2, 3
     grams = lambda c, ns: F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[S.trigrams(F.col(c), n) for n in ns])))
     own = q.withColumn("g", grams("low", [3]))
-    i = items.select("kind", "text", "ord", F.lower("text").alias("lower")).withColumn("g", grams("lower", sizes))
+    every = items.select("kind", "text", "ord", F.lower("text").alias("lower"), F.xxhash64("kind", "ord", "text").alias("_key"))
+    i = every.select("_key", "lower").withColumn("g", grams("lower", sizes)).drop("lower").distinct()
     seen = i.join(own.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
     rarest = own.join(seen, "g", "left").groupBy("query", "low").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), F.col("g"))).alias("g"))
     met = q.join(rarest, ["query", "low"])  # a query asked twice is answered twice
-    hits = met.join(i, "g").where(F.contains("lower", "low")).select("query", "kind", "text", "ord")
+    hits = met.join(i, "g").join(every, "_key").where(F.contains("lower", "low")).select("query", "kind", "text", "ord")
     return top_per_group(hits, ["query"], ["ord", "kind", "text"], k)
 
 

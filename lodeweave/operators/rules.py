@@ -99,7 +99,7 @@ def date_triples(texts: DataFrame, relation: str = "point in time") -> DataFrame
     """``(doc_id, head, relation, tail)`` for entities followed by a date within their sentence."""
     pattern = r"(\d{1,2} \p{L}+ \d{4}|\d{4}-\d{2}-\d{2}|\b(?:1[5-9]|20)\d{2}\b)"
     at = F.position(F.lower("entity"), F.lower("sentence"))
-    rest = F.when(at > 0, F.col("sentence").substr(at + F.length("entity"), F.lit(400)))
+    rest = F.when(at > 0, F.col("sentence").substr(at + F.length("entity"), F.length("sentence")))
     date = F.nullif(F.regexp_extract(rest, pattern, 1), F.lit(""))
     return texts.select("doc_id", F.col("entity").alias("head"), F.lit(relation).alias("relation"), date.alias("tail")).where("tail is not null").distinct()
 
@@ -128,9 +128,10 @@ def pick_place(docs: DataFrame, names: DataFrame) -> DataFrame:
     ``names(place, alias, tier)``; texts meet aliases on words.
     """
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
-    d = docs.select("doc_id", F.lower("text").alias("t"), F.explode(words).alias("w"))
+    d = docs.select("doc_id", F.explode(words).alias("w"))
+    low = docs.select("doc_id", F.lower("text").alias("t"))
     a = names.select("place", F.lower("alias").alias("alias"), "tier", F.element_at(F.split(F.lower("alias"), r"[^\p{L}]+"), 1).alias("w"))
-    hits = d.join(a, "w").withColumn("n", (F.length("t") - F.length(F.replace(F.col("t"), F.col("alias"), F.lit("")))) / F.length("alias")).where("n > 0")
+    hits = d.join(a, "w").drop("w").distinct().join(low, "doc_id").withColumn("n", (F.length("t") - F.length(F.replace(F.col("t"), F.col("alias"), F.lit("")))) / F.length("alias")).where("n > 0")
     s = hits.groupBy("doc_id", "place").agg(F.max(F.col("tier") + 10 * F.col("n") + 5).alias("score"))
     return s.groupBy("doc_id").agg(F.max_by("place", F.struct("score", "place")).alias("place"))
 
@@ -149,7 +150,8 @@ def relation_family(df: DataFrame, by_type: dict[str, list[str]], by_word: dict[
 def evidence_links(mentions: DataFrame, most: int = 16) -> DataFrame:
     """``(doc_id, window, a, b)``: ordered pairs of entities in one window; at most ``most`` partners each, the operator's limit."""
     m = mentions.select("doc_id", "window", "entity").distinct()
-    pairs = m.withColumnRenamed("entity", "a").join(m.withColumnRenamed("entity", "b"), ["doc_id", "window"]).where("a <> b")
+    first = top_per_group(m, ["doc_id", "window"], ["entity"], most + 1)  # nobody has partners beyond these
+    pairs = m.withColumnRenamed("entity", "a").join(first.withColumnRenamed("entity", "b"), ["doc_id", "window"]).where("a <> b")
     return top_per_group(pairs, ["doc_id", "window", "a"], ["b"], most)
 
 
@@ -171,7 +173,8 @@ def few_shots(docs: DataFrame, target_id, k: int = 3, seed: int = 7) -> DataFram
 def diagnosis(relations: DataFrame, k: int = 30) -> DataFrame:
     """The k most frequent relation labels with their counts."""
     n = relations.groupBy("relation").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "relation"))).where(F.col("rank") <= k)  # a row per distinct label
+    first = n.orderBy(F.col("n").desc(), "relation").limit(k)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "relation")))  # k rows
 
 
 def id_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

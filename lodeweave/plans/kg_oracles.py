@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodeweave.functions.normalizers import RELATION_ALIASES
+from lodeweave.plans.text_queries import _STRAIGHT, _WORDS
 
 _N3 = r"trim(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g'))"
 _N4 = r"regexp_replace(regexp_replace(trim(lower({0})), '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s\-]', '', 'g')"
@@ -73,7 +74,8 @@ s0 AS (
   UNION ALL SELECT doc_id, 2, ord, link_id, 0, 'subproperty', relation_id, 'subPropertyOf', 'Object Property' FROM rl),
 schemata AS (SELECT *, printf('schema_%05d', row_number() OVER (PARTITION BY doc_id ORDER BY phase, ord, by_, k) - 1) AS schema_id FROM s0)
 """
-_TREE = "e AS (SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), up AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION SELECT up.node, e.parent, up.depth + 1 FROM up JOIN e ON up.ancestor = e.child)"
+_TREE = "e AS (SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT c_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), up AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION SELECT up.node, e.parent, up.depth + 1 FROM up JOIN e ON up.ancestor = e.child)"
+_RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 _EDGES = f"e AS (SELECT {_N6.format('subject_label')} AS source, {_N6.format('object_label')} AS target FROM kg WHERE subject_label IS NOT NULL AND object_label IS NOT NULL), d AS (SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree FROM (SELECT source AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT target, 0, 1 FROM e) GROUP BY 1)"
 
 
@@ -81,7 +83,9 @@ def _triple_rows() -> str:
     iri = lambda kind, c: f"'http://example.org/resource/{kind}/' || regexp_replace(coalesce({c}, 'unknown'), '[^A-Za-z0-9_.-]', '_', 'g')"
     s, o, p, t = iri("node", "subject_id"), iri("node", "object_id"), iri("relation", "predicate_id"), iri("triple", "triple_id")
     rdf, rdfs = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#"
+    base = "http://example.org/resource/"
     rows = [
+        (s, p, o, "false"), (t, f"'{base}confidence'", "confidence::VARCHAR", "true"), (t, f"'{base}sourceChunk'", "chunk_id", "true"), (t, f"'{base}justification'", "justification", "true"),
         (s, f"'{rdfs}label'", "subject_label", "true"), (o, f"'{rdfs}label'", "object_label", "true"), (p, f"'{rdfs}label'", "predicate_label", "true"),
         (s, f"'{rdf}type'", iri("concept", "subject_type"), "false"), (o, f"'{rdf}type'", iri("concept", "object_type"), "false"),
         (t, f"'{rdf}type'", f"'{rdf}Statement'", "false"), (t, f"'{rdf}subject'", s, "false"), (t, f"'{rdf}predicate'", p, "false"), (t, f"'{rdf}object'", o, "false"),
@@ -118,7 +122,7 @@ ORACLE_SQL = {
     "faithfulness": f"WITH t AS (SELECT row_id, trim(lower(coalesce(subject_label, ''))) AS s, trim(lower(coalesce(object_label, ''))) AS o, coalesce(subject_label, '') <> '' AS hs, coalesce(object_label, '') <> '' AS ho, [trim(lower(e.snippet)) FOR e IN coalesce(provenance, []) IF trim(lower(e.snippet)) <> ''] AS n FROM {_L5}), f AS (SELECT row_id, len(n) > 0 AS has_provenance, hs AND len([x FOR x IN n IF contains(x, s)]) > 0 AS subject_grounded, ho AND len([x FOR x IN n IF contains(x, o)]) > 0 AS object_grounded FROM t) SELECT *, has_provenance AND subject_grounded AND object_grounded AS grounded FROM f",
     "best_evidence": f"WITH e AS (SELECT row_id, unnest(provenance) AS e FROM {_L5}), d AS (SELECT row_id, count(*)::INT AS n FROM (SELECT DISTINCT row_id, e.chunk_id, e.chunk_start_char, e.chunk_end_char, substr(e.snippet, 1, 120) FROM e WHERE e IS NOT NULL) GROUP BY 1) SELECT row_id, CASE WHEN provenance IS NULL THEN -1 ELSE coalesce(n, 0) END AS n FROM {_L5} LEFT JOIN d USING (row_id)",
     "hierarchy_closure": f"WITH RECURSIVE {_TREE} SELECT node, ancestor, min(depth)::INT AS depth FROM up GROUP BY 1, 2",
-    "hierarchy_depth": f"WITH RECURSIVE {_TREE}, n AS (SELECT child AS node FROM e UNION SELECT parent FROM e) SELECT coalesce(d, 0)::INT AS depth, count(*) AS nodes FROM (SELECT n.node, max(depth) AS d FROM n LEFT JOIN up USING (node) GROUP BY 1) GROUP BY 1",
+    "hierarchy_depth": f"WITH RECURSIVE {_TREE}, n AS (SELECT child AS node FROM e UNION SELECT parent FROM e) SELECT n.node, coalesce(max(depth), 0)::INT AS depth FROM n LEFT JOIN up USING (node) GROUP BY 1",
     "consolidate_exact": _CLUSTERS + "SELECT p AS predicate, head, tail, support, layers, first_seen, last_seen, ord FROM cl JOIN hl USING (h, p, t) JOIN tl USING (h, p, t) WHERE hl.r = 1 AND tl.r = 1",
     "cluster_topk": _CLUSTERS + f"SELECT ord, support, round(s, 6) AS score FROM (SELECT ord, support, 2.25 * layers / 13 + 1.10 * ln(1 + support) + 0.85 * (CASE WHEN list_contains(stops, 12) THEN 1.0 ELSE 0.5 + 0.5 * last_seen / 12 END) + 0.40 * coalesce(confidence, 0.5) - {_penalty('head')} - {_penalty('tail')} AS s FROM cl JOIN hl USING (h, p, t) JOIN tl USING (h, p, t) WHERE hl.r = 1 AND tl.r = 1) ORDER BY s DESC, support DESC, ord LIMIT 226",
     "layer_contribution": f"WITH {_KG}, {_REC}, {_MEMBERS}, d AS (SELECT DISTINCT cluster, stop FROM m), f AS (SELECT *, min(stop) OVER (PARTITION BY cluster) AS first FROM d), ref AS (SELECT DISTINCT {_N3.format('subject_label')} || '|' || {_N13.format('predicate_label')} || '|' || {_N3.format('object_label')} AS r FROM {_L5}), n AS (SELECT first AS stop, count(DISTINCT cluster) AS newly FROM f JOIN ref ON cluster = r GROUP BY 1), s AS (SELECT stop, count(*) FILTER (WHERE first = stop) AS new_clusters, count(*) FILTER (WHERE first < stop) AS reinforced FROM f GROUP BY 1) SELECT stop, new_clusters, reinforced, coalesce(newly, 0)::BIGINT AS newly_covered, (sum(coalesce(newly, 0)) OVER (ORDER BY stop))::BIGINT AS covered, (sum(new_clusters) OVER (ORDER BY stop))::BIGINT AS clusters FROM s LEFT JOIN n USING (stop)",
@@ -132,8 +136,16 @@ ORACLE_SQL = {
     "closure_two_hop": f"WITH {_KG}, t AS (SELECT concat_ws('/', doc_id, {_N3.format('subject_label')}) AS head, predicate_label AS relation, concat_ws('/', doc_id, {_N3.format('object_label')}) AS tail FROM kg WHERE predicate_label IS NOT NULL) SELECT DISTINCT a.head, 'located in' AS relation, b.tail FROM t a JOIN t b ON a.tail = b.head WHERE a.relation = 'part of' AND b.relation = 'located in' AND a.head <> b.tail EXCEPT SELECT * FROM t",
     "evidence_links": f"WITH {_KG}, m AS (SELECT DISTINCT doc_id, chunk_id AS w, unnest([{_N6.format('subject_label')}, {_N6.format('object_label')}]) AS e FROM kg WHERE chunk_id IS NOT NULL) SELECT doc_id, w AS \"window\", a, b FROM (SELECT x.doc_id, x.w, x.e AS a, y.e AS b, row_number() OVER (PARTITION BY x.doc_id, x.w, x.e ORDER BY y.e) AS r FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.w = y.w AND x.e <> y.e) WHERE r <= 16",
     "graph_degrees": f"WITH {_KG}, {_EDGES} SELECT * FROM d",
-    "graph_root": f"WITH {_KG}, {_EDGES} SELECT node FROM d ORDER BY 3 * out_degree - 2 * in_degree + degree DESC, degree DESC LIMIT 1",
-    "graph_levels": "SELECT n_name AS node, n_nationkey::INT AS level FROM nation",
+    "graph_root": f"WITH {_KG}, {_EDGES} SELECT node FROM d ORDER BY 3 * out_degree - 2 * in_degree + degree DESC, degree DESC, node DESC LIMIT 1",
+    "graph_levels": f"WITH RECURSIVE {_KG}, {_EDGES}, x AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), b(node, level) AS (SELECT * FROM (SELECT node, 0 FROM d ORDER BY 3 * out_degree - 2 * in_degree + degree DESC, degree DESC, node DESC LIMIT 1) UNION SELECT x.b, level + 1 FROM b JOIN x ON x.a = b.node WHERE level < 60) SELECT node, min(level)::INT AS level FROM b GROUP BY 1",
+    "turtle": f"WITH {_KG}, r AS ({_triple_rows()}), x AS (SELECT DISTINCT s, CASE WHEN p = '{_RDF_TYPE}' THEN 'a' ELSE '<' || p || '>' END || ' ' || CASE WHEN o_is_literal THEN '\"' || replace(replace(replace(replace(replace(o, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '\"' ELSE '<' || o || '>' END AS po FROM r) SELECT '<' || s || '> ' || string_agg(po, ' ;' || chr(10) || '    ' ORDER BY NOT starts_with(po, 'a '), po) || ' .' AS value FROM x GROUP BY s",
+    "set_operations": f"WITH {_KG}, {_GP}, a AS (SELECT DISTINCT {_K4} FROM g), b AS (SELECT DISTINCT {_K4} FROM p) SELECT 'union' AS kind, run_id, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY 2 UNION ALL SELECT 'intersect', run_id, count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY 2 UNION ALL SELECT 'except', run_id, count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) GROUP BY 2",
+    "alias_labels": f"WITH {_KG}, a AS (SELECT {_N6.format('canon_label_fr')} AS k, arg_min(canon_label, canon_id) AS c FROM relation_catalog GROUP BY 1) SELECT row_id, coalesce(c, predicate_label) AS predicate_label FROM kg LEFT JOIN a ON k = {_N6.format('predicate_label')} WHERE predicate_label IS NOT NULL",
+    "exact_counts": f"WITH {_KG}, {_GP}, a AS (SELECT {_K4}, count(*) AS n FROM g GROUP BY ALL), b AS (SELECT {_K4}, count(*) AS n FROM p GROUP BY ALL) SELECT (SELECT sum(n) FROM b)::BIGINT AS pred_n, (SELECT sum(n) FROM a)::BIGINT AS gold_n, (SELECT coalesce(sum(least(a.n, b.n)), 0) FROM a JOIN b USING ({_K4}))::BIGINT AS tp",
+    "role_typing": f"WITH {_KG}, t AS (SELECT row_id, {_WORDS.format('lower(' + _STRAIGHT.format('justification') + ')')} AS t FROM kg WHERE justification IS NOT NULL) SELECT row_id, concat_ws(',', CASE WHEN contains(t, 'alarm') OR contains(t, 'alarme') THEN 'alarm' END, CASE WHEN contains(t, 'filter') OR contains(t, 'motor') OR contains(t, 'valve') THEN 'part' END, CASE WHEN contains(t, 'record') OR contains(t, 'sheet') OR contains(t, 'row') THEN 'record' END) AS roles, CASE WHEN contains(t, 'because') OR contains(t, 'since') THEN 'CAUSES' WHEN contains(t, 'confirms') THEN 'CONFIRMS' WHEN contains(t, 'names') THEN 'NAMES' END AS relation FROM t",
+    "located_snippets": f"WITH {_KG}, l AS (SELECT row_id, justification AS j, length(subject_label) AS n, CASE WHEN subject_label = '' THEN -1 ELSE strpos(lower(justification), lower(subject_label)) - 1 END AS s FROM kg WHERE justification IS NOT NULL AND subject_label IS NOT NULL) SELECT row_id, s::INT AS start, md5(CASE WHEN s >= 0 THEN trim(substr(j, greatest(s - 20, 0)::INT + 1, (s + n + 20 - greatest(s - 20, 0))::INT), ' ') ELSE '' END) AS digest FROM l",
+    "confidence_edges": f"WITH {_KG}, e AS (SELECT {_N6.format('subject_label')} AS source, {_N6.format('object_label')} AS target, predicate_label AS label, coalesce(confidence, 1.0) AS confidence, row_id FROM kg WHERE subject_label IS NOT NULL AND object_label IS NOT NULL AND predicate_label IS NOT NULL) SELECT source, target, arg_max(label, row_id) AS label, arg_max(confidence, row_id) AS confidence FROM e WHERE confidence >= 0.5 GROUP BY 1, 2",
+    "parsed_tuples": f"WITH {_KG}, t AS (SELECT row_id, string_split('(\"entity\"<|>' || subject_label || '<|>' || coalesce(subject_type, 'thing') || ')##(\"relationship\"<|>' || subject_label || '<|>' || object_label || ')', '##') AS r FROM kg WHERE subject_label IS NOT NULL AND object_label IS NOT NULL), u AS (SELECT row_id, generate_subscripts(r, 1) - 1 AS pos, unnest(r) AS r FROM t), v AS (SELECT row_id, pos, [regexp_replace(trim(x, ' '), '^\"|\"$', '', 'g') FOR x IN string_split(regexp_extract(r, '(?s)\\((.*)\\)', 1), '<|>')] AS f FROM u) SELECT row_id, pos::INT AS pos, lower(f[1]) AS kind, len(f[2:])::INT AS n_fields, md5(array_to_string(f[2:], '|')) AS digest FROM v WHERE lower(f[1]) IN ('entity', 'relationship')",
     "rdf_counts": f"WITH {_KG}, r AS ({_triple_rows()}) SELECT p, o_is_literal, count(*) AS n FROM r GROUP BY 1, 2",
     "label_sources": f"WITH {_KG}, x AS (SELECT {_N6.format('subject_label')} AS item, source_code, min(row_id) AS o FROM kg WHERE subject_label IS NOT NULL AND source_code IS NOT NULL GROUP BY 1, 2) SELECT item, string_agg(source_code, ',' ORDER BY o) AS sources FROM x GROUP BY 1",
     "label_diagnosis": f"WITH {_KG} SELECT relation, n, rank::INT AS rank FROM (SELECT predicate_label AS relation, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, predicate_label) AS rank FROM kg WHERE predicate_label IS NOT NULL GROUP BY 1) WHERE rank <= 30",

@@ -160,17 +160,23 @@ def best_evidence(spark, sf_dir):
     return l5.select("row_id", F.coalesce(F.size(keys.dedup_evidence(F.col("provenance"))), F.lit(-1)).alias("n"))
 
 
-def hierarchy_closure(spark, sf_dir):
-    """All ancestors of customers, nations and regions."""
+def _hierarchy(spark, sf_dir):
+    """Customers under nations and, as a short cut, under regions; nations under regions."""
     r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    e = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")).unionByName(c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("child"), F.col("n_name").alias("parent")))
-    return graph.closure(e)
+    low = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
+    of = c.join(low, c.c_nationkey == low.n_nationkey)
+    edges = low.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"))
+    return edges.unionByName(of.select(F.col("c_name").alias("child"), F.col("n_name").alias("parent"))).unionByName(of.select(F.col("c_name").alias("child"), F.col("r_name").alias("parent")))
+
+
+def hierarchy_closure(spark, sf_dir):
+    """All ancestors of customers, nations and regions, with the shortest way."""
+    return graph.closure(_hierarchy(spark, sf_dir))
 
 
 def hierarchy_depth(spark, sf_dir):
-    r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    e = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")).unionByName(c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("child"), F.col("n_name").alias("parent")))
-    return graph.depths(e).groupBy("depth").agg(F.count("*").alias("nodes"))
+    """The longest way to each of them."""
+    return graph.depths(_hierarchy(spark, sf_dir))
 
 
 def _clusters(spark, sf_dir):
@@ -248,16 +254,66 @@ def graph_root(spark, sf_dir):
 
 
 def graph_levels(spark, sf_dir):
-    """Steps between nations that share a supplier's or customer's region, from one nation."""
-    n = table(spark, sf_dir, "nation")
-    e = n.alias("a").join(n.alias("b"), F.col("a.n_nationkey") + 1 == F.col("b.n_nationkey")).select(F.col("a.n_name").alias("source"), F.col("b.n_name").alias("target"))
-    first = n.agg(F.min_by("n_name", "n_nationkey")).first()[0]
-    return graph.levels(e, first)
+    """Steps from the graph's root along the edges of all exported triples, for the nodes it reaches."""
+    e = _kg(spark, sf_dir).select(N.spacing(F.col("subject_label")).alias("source"), N.spacing(F.col("object_label")).alias("target")).na.drop()
+    return graph.levels(e, graph.root(e)).where("level is not null")
 
 
 def rdf_counts(spark, sf_dir):
-    r = graph.kg_rdf(_kg(spark, sf_dir))
-    return r.groupBy("p", "o_is_literal").agg(F.count("*").alias("n")).where("p like 'http://www.w3.org%'")
+    return graph.kg_rdf(_kg(spark, sf_dir)).groupBy("p", "o_is_literal").agg(F.count("*").alias("n"))
+
+
+def turtle(spark, sf_dir):
+    """The exported graph as Turtle, one block per subject."""
+    return graph.turtle(graph.kg_rdf(_kg(spark, sf_dir)))
+
+
+def set_operations(spark, sf_dir):
+    """Triples of both layers, of both at once, and of one only, by run."""
+    g, p = (df.distinct() for df in _gold_pred(spark, sf_dir))
+    sets = {"union": g.union(p).distinct(), "intersect": g.intersect(p), "except": p.exceptAll(g)}
+    rows = [df.groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "run_id", "n") for k, df in sets.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def alias_labels(spark, sf_dir):
+    """Predicates as typed, by the list's French aliases."""
+    cat = table(spark, sf_dir, "relation_catalog").select(F.col("canon_label_fr").alias("alias"), F.col("canon_label").alias("canonical"), F.col("canon_id").alias("ord"))
+    return matching.by_alias_table(_kg(spark, sf_dir).where("predicate_label is not null").select("row_id", "predicate_label"), cat, "predicate_label")
+
+
+def exact_counts(spark, sf_dir):
+    """One-to-one matches of equal triples, copies counted as often as both sides have them."""
+    g, p = _gold_pred(spark, sf_dir)
+    return matching.exact_counts(p, g, ["run_id", "head", "relation", "tail"])
+
+
+def role_typing(spark, sf_dir):
+    """Roles and relations read from keywords of justifications."""
+    k = _kg(spark, sf_dir).where("justification is not null")
+    roles = matching.infer_roles(F.col("justification"), [("alarm", ["alarm", "alarme"]), ("part", ["filter", "motor", "valve"]), ("record", ["record", "sheet", "row"])])
+    rel = matching.infer_relation(F.col("justification"), [("CAUSES", ["because", "since"]), ("CONFIRMS", ["confirms"]), ("NAMES", ["names"])])
+    return k.select("row_id", F.array_join(roles, ",").alias("roles"), rel.alias("relation"))
+
+
+def located_snippets(spark, sf_dir):
+    """Where the subject stands in its justification, and the text around it."""
+    k = _kg(spark, sf_dir).where("justification is not null and subject_label is not null")
+    at = extraction.locate(F.col("justification"), F.col("subject_label"))
+    return k.select("row_id", at.alias("start"), F.md5(extraction.snippet(F.col("justification"), at, F.length("subject_label"), 20)).alias("digest"))
+
+
+def confidence_edges(spark, sf_dir):
+    """Edges of the exported graph with enough confidence; of parallel ones the last."""
+    e = _kg(spark, sf_dir).select(N.spacing(F.col("subject_label")).alias("source"), N.spacing(F.col("object_label")).alias("target"), F.col("predicate_label").alias("label"), "confidence", F.col("row_id").alias("ord")).where("source is not null and target is not null and label is not null")
+    return graph.confident_edges(e, 0.5)
+
+
+def parsed_tuples(spark, sf_dir):
+    """Records in tuple form, written from the exported triples and read again."""
+    k = _kg(spark, sf_dir).where("subject_label is not null and object_label is not null")
+    text = F.concat(F.lit('("entity"<|>'), F.col("subject_label"), F.lit("<|>"), F.coalesce("subject_type", F.lit("thing")), F.lit(')##("relationship"<|>'), F.col("subject_label"), F.lit("<|>"), F.col("object_label"), F.lit(")"))
+    return rules.parse_tuples(k.select("row_id", text.alias("text"))).select("row_id", "pos", "kind", F.size("fields").alias("n_fields"), F.md5(F.array_join("fields", "|")).alias("digest"))
 
 
 def ntriples(spark, sf_dir):
@@ -332,5 +388,5 @@ QUERIES = {f.__name__: f for f in (
     resolve_candidates, assertions_to_triples, records_to_triples, duplicate_triples, incomplete_triples, inferred_graph, graph_completion, parent_hierarchy, axiom_schemata, general_axioms, domain_ranges,
     triples_per_candidate, concept_induction, prf_exact, prf_sets, prf_per_relation, predicate_only, validation_metrics, contradiction_pairs, faithfulness, best_evidence, hierarchy_closure, hierarchy_depth,
     consolidate_exact, cluster_topk, consolidate_fuzzy, layer_contribution, cluster_inventory, cumulative_prefixes, ablation_metrics, closure_inverse, closure_two_hop, evidence_links, graph_degrees, graph_root,
-    graph_levels, rdf_counts, ntriples, label_sources, label_diagnosis, id_overlap, predicate_rules, panel_verdicts, axiom_completion, top_orders, greedy_entities, greedy_triples, bleu_items, document_graph,
+    graph_levels, rdf_counts, ntriples, turtle, set_operations, alias_labels, exact_counts, role_typing, located_snippets, confidence_edges, parsed_tuples, label_sources, label_diagnosis, id_overlap, predicate_rules, panel_verdicts, axiom_completion, top_orders, greedy_entities, greedy_triples, bleu_items, document_graph,
 )}

@@ -125,6 +125,18 @@ def top_labels(spark, sf_dir):
     return graph.top_labels(k, ["source_code"], "label")
 
 
+def _step(step):
+    """A query of one cleaning step over all texts."""
+    return lambda spark, sf_dir: _docs(spark, sf_dir).where("text is not null").select("doc_id", F.md5(step(F.col("text"))).alias("digest"))
+
+
+#: Single steps of the cleaning pipeline.
+STEPS = {
+    "control_strip": C.strip_controls, "hyphen_strip": C.strip_soft_hyphens, "latex_strip": C.strip_latex, "fused_split": C.split_fused, "broken_join": C.join_broken, "dash_fix": C.fix_dashes,
+    "header_drop": C.drop_headers, "contents_drop": C.drop_contents, "spaced_letters": C.join_spaced_letters, "line_spacing": C.fix_line_spacing, "doubled_glyphs": C.repair_doubles,
+}
+
+
 def nearest_catalog(spark, sf_dir):
     """The three entries of the relation list most like each of the list's French labels."""
     cat = table(spark, sf_dir, "relation_catalog")
@@ -134,7 +146,7 @@ def nearest_catalog(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     chunk_fixed, chunk_token, html_strip, markdown_strip, secret_scan, adjacent_dedupe, garbage_lines, whitespace, clean_native, clean_full, language, repeated_lines, normalize_labels, relation_names,
     label_similarity, running_offsets, taxonomy_retrieve, artifact_retrieve, prompt_stats, event_summary, top_labels, nearest_catalog,
-)}
+)} | {name: _step(step) for name, step in STEPS.items()}
 
 _LINES = r"SELECT doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL"
 _ACCENTS = "strip_accents({0})"
@@ -172,7 +184,16 @@ ORACLE_SQL = {
     + ", ".join(f"'{k}': '{v}'" for k, v in N.RELATION_ALIASES.items()) + "}[k], k) AS relation FROM y",
     "label_similarity": f"WITH x AS (SELECT row_id, {_N3.format('subject.label')} AS a, {_N3.format('object.label')} AS b FROM kg_inferred WHERE subject.label IS NOT NULL AND object.label IS NOT NULL), y AS (SELECT row_id, {_TOK.format('a')} AS p, {_TOK.format('b')} AS q, {_TRI.format('a')} AS s, {_TRI.format('b')} AS t FROM x) SELECT row_id, round(CASE WHEN len(p) > 0 AND len(q) > 0 THEN len(list_intersect(p, q)) / len(list_distinct(list_concat(p, q))) ELSE 0 END, 6) AS jaccard, round(CASE WHEN least(len(p), len(q)) > 0 THEN len(list_intersect(p, q)) / least(len(p), len(q)) ELSE 0 END, 6) AS containment, round(CASE WHEN len(s) > 0 AND len(t) > 0 THEN len(list_intersect(s, t)) / len(list_distinct(list_concat(s, t))) ELSE 0 END, 6) AS trigram FROM y",
     "running_offsets": "WITH s AS (SELECT run_id AS doc_id, row_id, generate_subscripts(provenance, 1) - 1 AS pos, unnest(provenance) AS e FROM layer05_candidate_triple_generation), t AS (SELECT doc_id, row_id, pos, length(coalesce(e.snippet, '')) AS n FROM s) SELECT doc_id, row_id, pos::INT AS pos, (sum(n + 2) OVER w - 2 - n)::BIGINT AS start_char, (sum(n + 2) OVER w - 2)::BIGINT AS end_char FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY row_id, pos ROWS UNBOUNDED PRECEDING)",
-    "taxonomy_retrieve": _GRAMS + "SELECT doc_id, label FROM (SELECT doc_id, canon_label AS label, row_number() OVER (PARTITION BY doc_id ORDER BY canon_label) AS r FROM g JOIN relation_catalog ON g = lower(trim(canon_label))) WHERE r <= 40",
+    "taxonomy_retrieve": r"WITH w AS (SELECT doc_id, ' ' || array_to_string([x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''], ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL), l AS (SELECT DISTINCT canon_label AS label, ' ' || trim(regexp_replace(lower(canon_label), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS g FROM relation_catalog), h AS (SELECT DISTINCT doc_id, label FROM w JOIN l ON contains(t, g)) SELECT doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY label) AS r FROM h) WHERE r <= 40",
+    "control_strip": r"SELECT doc_id, md5(regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f]', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL",
+    "hyphen_strip": "SELECT doc_id, md5(replace(replace(replace(text, chr(173), ''), chr(8203), ''), chr(65279), '')) AS digest FROM documents WHERE text IS NOT NULL",
+    "latex_strip": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\$\\[a-zA-Z]+\{[^}]*\}\$', '', 'g'), '\$\\[a-zA-Z]+\$', '', 'g'), '\$[^$]{1,30}\$', '', 'g'), ' ')) AS digest FROM documents WHERE text IS NOT NULL",
+    "fused_split": r"SELECT doc_id, md5(regexp_replace(text, '([a-zà-ÿ])([A-ZÀ-Ý])', '\1 \2', 'g')) AS digest FROM documents WHERE text IS NOT NULL",
+    "broken_join": r"SELECT doc_id, md5(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g')) AS digest FROM documents WHERE text IS NOT NULL",
+    "dash_fix": r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])\s*---\s*([\p{L}\p{N}_])', '\1-\2', 'g'), '([\p{L}\p{N}_])\s*--\s*([\p{L}\p{N}_])', '\1-\2', 'g')) AS digest FROM documents WHERE text IS NOT NULL",
+    "header_drop": rf"WITH l AS ({_LINES}), d AS (SELECT DISTINCT doc_id FROM l), r AS (SELECT doc_id, i, trim(line) AS line, len(regexp_extract_all(trim(line), '\.{{2,}}\s*\d+')) AS refs, length(line) - length(replace(line, '.', '')) AS dots FROM l), k AS (SELECT * FROM r WHERE line = '' OR NOT (regexp_matches(line, '^[0-9]{{1,3}}$') OR regexp_matches(line, '^\d+\s*/\s*\d+$') OR regexp_matches(line, '^-\s*\d+\s*-$') OR regexp_matches(line, '(?i)^page\s+\d+.*$') OR refs >= 2 OR (refs >= 1 AND dots >= 3))) SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY i), '')) AS digest FROM d LEFT JOIN k USING (doc_id) GROUP BY 1",
+    "contents_drop": rf"WITH l AS ({_LINES}), d AS (SELECT DISTINCT doc_id FROM l), r AS (SELECT doc_id, i, trim(line) AS line, len(regexp_extract_all(trim(line), '\.{{2,}}\s*\d+')) AS refs, length(line) - length(replace(line, '.', '')) AS dots FROM l), k AS (SELECT * FROM r WHERE line = '' OR NOT (upper(line) = 'INDEX' OR regexp_matches(line, '^\s*\d+(\.\d+)+(\.?[^\n]*)?\s*\d+(-\d+)?\s*$') OR refs >= 2 OR (refs >= 1 AND dots >= 2))) SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY i), '')) AS digest FROM d LEFT JOIN k USING (doc_id) GROUP BY 1",
+    "spaced_letters": rf"WITH l AS ({_LINES}), w AS (SELECT *, [x FOR x IN regexp_split_to_array(trim(line), '\s+') IF x <> ''] AS w FROM l), s AS (SELECT *, len([x FOR x IN w IF regexp_matches(x, '\p{{L}}')]) AS alpha, len([x FOR x IN w IF regexp_matches(x, '^\p{{L}}$')]) AS single FROM w) SELECT doc_id, md5(string_agg(CASE WHEN single >= 4 AND single >= 0.7 * alpha THEN array_to_string(w, '') ELSE line END, chr(10) ORDER BY i)) AS digest FROM s GROUP BY 1",
     "artifact_retrieve": "WITH q AS (SELECT lower(area_name) AS query FROM subject_areas UNION ALL SELECT * FROM (VALUES ('the filter'), ('a fuse'), ('the cable had'))), i AS (SELECT element_kind AS kind, description AS text, row_id AS ord FROM layer06_concept_relation_induction WHERE label IS NOT NULL AND description IS NOT NULL) SELECT query, kind, text, ord FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ord, kind, text) AS r FROM q JOIN i ON contains(lower(text), query)) WHERE r <= 5",
     "prompt_stats": "WITH p AS (SELECT source_code, 'Is ' || coalesce(subject.label, '') || ' related to ' || coalesce(object.label, '') || '?' AS p FROM kg_inferred) SELECT source_code, count(*) AS prompts, sum(length(p))::BIGINT AS chars, max(length(p))::INT AS max_chars, round(avg(length(p)), 6) AS avg_chars, sum(greatest(1, length(p) // 4))::BIGINT AS tokens FROM p GROUP BY 1",
     "event_summary": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean, count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY 1",

@@ -65,16 +65,16 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: Column, counts: DataFrame, salts: int = 32, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: Column, counts: DataFrame, salts: int = 32, how: str = "inner", least: int = 10_000) -> DataFrame:
     """Equi-join in which one key may hold a third of ``big``.
 
     ``small`` has one row per key and ``counts(*keys, n)`` the number of rows of ``big`` per key, nulls apart. Keys
-    with more than a thousandth of the rows are hot; there are under a thousand of them, whatever the size,
+    with more than a thousandth of the rows, and more than ``least``, are hot; there are under a thousand of them, whatever the size,
     so their list is broadcast. Only their rows are spread over ``salts`` tasks, and only their row of ``small``
     is repeated. AQE splits what is still too large.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(counts.where(F.col("n") > max(total / 1000, 10_000)).select(*keys, F.lit(True).alias("_hot")))
+    hot = F.broadcast(counts.where(F.col("n") > max(total / 1000, least)).select(*keys, F.lit(True).alias("_hot")))
     left = big.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = small.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

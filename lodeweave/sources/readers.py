@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,108 +134,158 @@ def flat_gold(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def read_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Statements of N-Triples lines; what is no statement is left out."""
-    p = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^<[^>]*>)?)\s*\.\s*$'
+    """Statements of N-Triples lines, blank nodes as ``_:name``; what is no statement (comments, blank lines) is left out."""
+    node = r"(?:<([^>]*)>|(_:[^\s<>\"]+))"
+    p = rf'^\s*{node}\s+<([^>]*)>\s+(?:<([^>]*)>|(_:[^\s<>"]*[^\s<>".])|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
     c = F.col(column)
-    lit = F.regexp_extract(c, p, 4)
-    for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
+    part = lambda k: F.regexp_extract(c, p, k)
+    lit = part(6)
+    for a, b in (("\\\\", "\x00"), ("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\x00", "\\")):
         lit = F.replace(lit, F.lit(a), F.lit(b))
-    iri = F.regexp_extract(c, p, 3)
-    is_lit = c.rlike(r'^\s*<[^>]*>\s+<[^>]*>\s+"')
-    return lines.where(c.rlike(p)).select(F.regexp_extract(c, p, 1).alias("s"), F.regexp_extract(c, p, 2).alias("p"), F.when(is_lit, lit).otherwise(iri).alias("o"), is_lit.alias("o_is_literal"))
+    is_lit = c.rlike(rf'^\s*{node}\s+<[^>]*>\s+"')
+    return lines.where(c.rlike(p)).select(F.concat(part(1), part(2)).alias("s"), part(3).alias("p"), F.when(is_lit, lit).otherwise(F.concat(part(4), part(5))).alias("o"), is_lit.alias("o_is_literal"))
 
 
-def parse_turtle(text: str) -> list[tuple[str, str, str, bool]]:
-    """Statements of a subset of Turtle: prefixes, ``a``, ``;``, ``,`` and literals; blank nodes in brackets are skipped."""
-    import re
+_TURTLE = re.compile(
+    r'''<[^>\s]*>|"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|@[A-Za-z][\w-]*|\^\^|#[^\n]*|[;,\[\]()]|\.(?=\s|$|[\]);,])|(?:[^\s;,\[\]()<>"#.^]|\.(?!\s|$|[\]);,]))+''', re.S
+)
+_ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f"}
+_RDF_NS = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+
 
-    token = re.compile(r'<[^>]*>|"""(?:.|\n)*?"""(?:@[\w-]+|\^\^\S+)?|"(?:[^"\\\n]|\\.)*"(?:@[\w-]+|\^\^[^\s;,.]+)?|@prefix|@base|#[^\n]*|[;,.\[\]()]|[^\s;,\[\]()<>"#]+')
+def parse_turtle(text: str) -> list[tuple[str, str, str, bool]]:
+    """Statements of Turtle: prefixes and bases (both spellings), ``a``, ``;``, ``,``, literals with language or type (which are left
+    out), blank nodes by name or in brackets (``_:b0`` and so on), and collections as lists of ``rdf:first`` and ``rdf:rest``."""
+    toks = [t for t in _TURTLE.findall(text) if not t.startswith("#")]
     prefixes: dict[str, str] = {}
     out: list[tuple[str, str, str, bool]] = []
-    toks = [t for t in token.findall(text) if not t.startswith("#")]
-    fixed: list[str] = []
-    for t in toks:
-        while len(t) > 1 and t.endswith(".") and not t.startswith(("<", '"')):
-            t = t[:-1]
-            fixed += [t, "."]
-            t = ""
-            break
-        if t:
-            fixed.append(t)
-    i, s, p, depth = 0, None, None, 0
-
-    def term(t: str) -> tuple[str, bool]:
+    at, blanks, base = 0, 0, ""
+
+    def fresh() -> str:
+        nonlocal blanks
+        blanks += 1
+        return f"_:b{blanks - 1}"
+
+    def peek() -> str:
+        return toks[at] if at < len(toks) else ""
+
+    def take() -> str:
+        nonlocal at
+        at += 1
+        return toks[at - 1] if at <= len(toks) else ""
+
+    def iri(t: str) -> str:
+        return urljoin(base, t[1:-1]) if base else t[1:-1]
+
+    def term() -> tuple[str, bool]:
+        t = take()
+        if t == "[":
+            s = fresh()
+            statements(s, "]")
+            take()
+            return s, False
+        if t == "(":
+            items = []
+            while peek() not in (")", ""):
+                items.append(term())
+            take()
+            cells = [fresh() for _ in items]
+            for k, (o, lit) in enumerate(items):
+                out.append((cells[k], f"{_RDF_NS}first", o, lit))
+                out.append((cells[k], f"{_RDF_NS}rest", cells[k + 1] if k + 1 < len(cells) else f"{_RDF_NS}nil", False))
+            return (cells[0] if cells else f"{_RDF_NS}nil"), False
         if t.startswith("<"):
-            return prefixes.get("", "") + t[1:-1] if t == "<>" else t[1:-1], False
+            return iri(t), False
         if t.startswith('"'):
-            body = t[3 : t.rindex('"""')] if t.startswith('"""') else t[1 : t.rindex('"')]
-            return body.replace('\\"', '"').replace("\\n", "\n").replace("\\\\", "\\"), True
+            body = t[3:-3] if t.startswith('"""') and len(t) >= 6 else t[1:-1]
+            if peek().startswith("@"):
+                take()
+            elif peek() == "^^":
+                take()
+                take()
+            return re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", lambda m: chr(int(m[1][1:], 16)) if m[1][0] in "uU" and len(m[1]) > 1 else _ESCAPES.get(m[1], m[1]), body, flags=re.S), True
         if t == "a":
-            return "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", False
-        if ":" in t:
-            k, _, v = t.partition(":")
-            if k in prefixes:
-                return prefixes[k] + v, False
-        return t, re.fullmatch(r"[-+]?\d+(\.\d+)?|true|false", t) is not None
-
-    while i < len(fixed):
-        t = fixed[i]
-        if t == "@prefix" and i + 2 < len(fixed):
-            prefixes[fixed[i + 1].rstrip(":")] = fixed[i + 2][1:-1]
-            i += 4
+            return f"{_RDF_NS}type", False
+        k, colon, v = t.partition(":")
+        if colon and k in prefixes:
+            return prefixes[k] + v, False
+        return t, re.fullmatch(r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?|true|false", t) is not None
+
+    def statements(s: str, end: str) -> None:
+        while peek() not in (end, "."):
+            if peek() == "":
+                return
+            if peek() == ";":
+                take()
+                continue
+            p = term()[0]
+            while True:
+                o, lit = term()
+                out.append((s, p, o, lit))
+                if peek() != ",":
+                    break
+                take()
+
+    while at < len(toks):
+        t = peek()
+        if t.lower().lstrip("@") in ("prefix", "base") and (t.startswith("@") or t.isalpha()):
+            take()
+            if t.lower().endswith("prefix"):
+                name = take().removesuffix(":")
+                prefixes[name] = iri(take())
+            else:
+                base = iri(take())
+            if peek() == ".":
+                take()
+            continue
+        if t == ".":
+            take()
             continue
-        if t in ("[", "("):
-            depth += 1
-        elif t in ("]", ")"):
-            depth -= 1
-        elif depth:
-            pass
-        elif t == ".":
-            s = p = None
-        elif t == ";":
-            p = None
-        elif t == ",":
-            pass
-        elif s is None:
-            s = term(t)[0]
-        elif p is None:
-            p = term(t)[0]
-        else:
-            o, lit = term(t)
-            out.append((s, p, o, lit))
-        i += 1
+        s = term()[0]
+        statements(s, ".")
+        take()
     return out
 
 
 def parse_rdfxml(content: bytes) -> list[tuple[str, str, str, bool]]:
-    """Statements of RDF/XML: described resources with their properties, nested ones too."""
+    """Statements of RDF/XML: described resources with their properties, nested ones too; nodes without a name are blank (``_:x0``)."""
     out: list[tuple[str, str, str, bool]] = []
     root = ET.fromstring(content)
     base = root.get("{http://www.w3.org/XML/1998/namespace}base", "")
     name = lambda tag: tag[1:].replace("}", "")
-    full = lambda x: base + x if x.startswith("#") else x
+    full = lambda x: urljoin(base, x) if base else x
+    blanks = iter(range(10**9))
 
-    def node(e: ET.Element) -> str | None:
-        about = e.get(f"{_RDF}about") or (("#" + e.get(f"{_RDF}ID")) if e.get(f"{_RDF}ID") else None)
-        if about is None:
-            return None
-        s = full(about)
+    def node(e: ET.Element) -> str:
+        about, own, blank = e.get(f"{_RDF}about"), e.get(f"{_RDF}ID"), e.get(f"{_RDF}nodeID")
+        s = full(about) if about is not None else full(f"#{own}") if own else f"_:{blank}" if blank else f"_:x{next(blanks)}"
         if e.tag != f"{_RDF}Description":
             out.append((s, name(f"{_RDF}type"), name(e.tag), False))
+        for k, v in e.attrib.items():
+            if k.startswith("{") and not k.startswith((_RDF, "{http://www.w3.org/XML/1998/namespace}")):
+                out.append((s, name(k), v, True))
         for c in e:
-            to = c.get(f"{_RDF}resource")
-            if to is not None:
-                out.append((s, name(c.tag), full(to), False))
+            to, blank = c.get(f"{_RDF}resource"), c.get(f"{_RDF}nodeID")
+            if to is not None or blank is not None:
+                out.append((s, name(c.tag), full(to) if to is not None else f"_:{blank}", False))
+            elif c.get(f"{_RDF}parseType") == "Collection":
+                cells = [(f"_:x{next(blanks)}", node(inner)) for inner in c]
+                out.append((s, name(c.tag), cells[0][0] if cells else f"{name(_RDF)}nil", False))
+                for k, (cell, item) in enumerate(cells):
+                    out.append((cell, f"{name(_RDF)}first", item, False))
+                    out.append((cell, f"{name(_RDF)}rest", cells[k + 1][0] if k + 1 < len(cells) else f"{name(_RDF)}nil", False))
+            elif c.get(f"{_RDF}parseType") == "Resource":
+                inner = ET.Element(f"{_RDF}Description")
+                inner.extend(list(c))
+                out.append((s, name(c.tag), node(inner), False))
             elif len(c):
                 for inner in c:
-                    o = node(inner)
-                    if o is not None:
-                        out.append((s, name(c.tag), o, False))
+                    out.append((s, name(c.tag), node(inner), False))
             elif c.text and c.text.strip():
                 out.append((s, name(c.tag), c.text.strip(), True))
         return s
 
-    for e in root:
+    for e in [root] if root.tag != f"{_RDF}RDF" else root:
         node(e)
     return out
 

@@ -1,4 +1,4 @@
-"""Sinks: graphs as JSON and N-Triples, restartable runs, integrity, reports."""
+"""Sinks: graphs as JSON, N-Triples and Turtle, restartable runs, integrity, reports."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.operators.graph import ntriples
+from lodeweave.operators.graph import ntriples, turtle
 
 STAGES = (
     "preprocessing", "expressions", "enrichment", "candidates", "assertions", "triples", "induction", "hierarchy", "schemata", "axioms", "validation", "completion", "serialization",
@@ -23,9 +23,16 @@ def kg_json(triples: DataFrame, provenance: bool = True) -> DataFrame:
 
 
 def write_graph(triples: DataFrame, rdf: DataFrame, path: str) -> None:
-    """JSON lines and N-Triples under a path; each file set is committed as a whole."""
+    """JSON lines, N-Triples and Turtle under a path; each file set is committed as a whole."""
     kg_json(triples, "provenance" in triples.columns).write.mode("overwrite").text(f"{path}/kg_json")
     ntriples(rdf).write.mode("overwrite").text(f"{path}/kg_nt")
+    turtle(rdf).write.mode("overwrite").text(f"{path}/kg_ttl")
+
+
+def write_ontology(rdf: DataFrame, path: str) -> None:
+    """The statements of an ontology (``graph.ontology_rdf``) as Turtle and N-Triples under a path."""
+    ntriples(rdf).write.mode("overwrite").text(f"{path}/ontology_nt")
+    turtle(rdf).write.mode("overwrite").text(f"{path}/ontology_ttl")
 
 
 class Run:

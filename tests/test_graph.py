@@ -36,7 +36,10 @@ def test_keys(spark, collect):
     assert [r["id"] for r in dense_id(df, "id", "t_", ["o"]).orderBy("doc_id", "o").collect()] == ["t_00000", "t_00001", "t_00000", "t_00001"]
     assert append_new(df, df.where("k is null"), ["k"]).count() == 2
     hot = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 1)], "k int, i int")
-    assert salted_join(hot, spark.createDataFrame([(1, "x"), (3, "y")], "k int, v string"), ["k"], F.col("i")).count() == 300
+    counts = hot.groupBy("k").agg(F.count("*").alias("n"))
+    for least in (10, 10_000):
+        assert salted_join(hot, spark.createDataFrame([(1, "x"), (3, "y")], "k int, v string"), ["k"], F.col("i"), counts, least=least).count() == 300
+        assert salted_join(hot, spark.createDataFrame([(1, "x"), (3, "y")], "k int, v string"), ["k"], F.col("i"), counts, how="left", least=least).count() == 301
     ev = spark.sql("SELECT array(named_struct('chunk_id', 'c', 'chunk_start_char', 1, 'chunk_end_char', 2, 'snippet', 's'), named_struct('chunk_id', 'c', 'chunk_start_char', 1, 'chunk_end_char', 2, 'snippet', 's'), null) AS e")
     assert ev.select(F.size(dedup_evidence(F.col("e")))).first()[0] == 1
 
@@ -46,6 +49,54 @@ def test_closure_with_cycle(spark, collect):
     assert ("d", "c", 3) in collect(graph.closure(e)) and ("a", "a", 3) in collect(graph.closure(e))
     assert [r[0] for r in collect(graph.on_cycles(e))] == ["a", "b", "c"]
     assert dict(collect(graph.levels(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "source string, target string"), "a"))) == {"a": 0, "b": 1, "c": 2, "x": None, "y": None}
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(25)], "child string, parent string")
+    assert dict(collect(graph.depths(chain)))["n0"] == 25 and ("n0", "n25", 25) in collect(graph.closure(chain)) and graph.closure(chain.limit(0)).count() == 0
+    cut_short = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "a"), ("d", "c"), ("x", "y"), ("y", "x"), ("z", "x"), (None, "c"), ("a", "b")], "child string, parent string")
+    assert dict(collect(graph.depths(cut_short))) == {"a": 2, "b": 1, "c": 0, "d": 3, "x": 0, "y": 0, "z": 1}  # the longest way; links within a cycle do not count
+
+
+def test_turtle_round_trip(spark, collect):
+    from lodeweave.sources.readers import parse_turtle
+
+    rows = [("http://x/a", graph.RDF + "type", "http://x/C", False), ("http://x/a", graph.RDFS + "label", 'say "hi"\n\\ there', True), ("http://x/b", "http://x/p", "http://x/a", False), ("http://x/b", "http://x/p", "http://x/a", False), ("http://x/c", "http://x/p", None, True)]
+    df = spark.createDataFrame(rows, "s string, p string, o string, o_is_literal boolean")
+    text = "\n".join(r[0] for r in graph.turtle(df).collect())
+    assert "<http://x/a> a <http://x/C> ;" in text and sorted({tuple(r)[:3] for r in parse_turtle(text)}) == sorted({r[:3] for r in rows if r[2]})
+
+
+def test_rdf_without_loss(spark, collect):
+    from lodeweave.sources.readers import parse_rdfxml, parse_turtle, read_ntriples
+
+    first, rest, nil = (graph.RDF + x for x in ("first", "rest", "nil"))
+    ttl = """@base <http://e/x/> . # a comment
+PREFIX : <http://e/>
+:a :list ( :b "c" 4.5 ) ; :none () ; .
+<y> :p <#z> , _:k , true , "a\\\\n\\tb"^^:t , 'x' .
+[ :q [ :r 1 ] ] .
+[] :s :a.b, -2e3 ."""
+    got = parse_turtle(ttl.replace("'x'", '"""x "y" z"""@en'))
+    assert [x for x in got if x[1] in (first, rest)] == [("_:b0", first, "http://e/b", False), ("_:b0", rest, "_:b1", False), ("_:b1", first, "c", True), ("_:b1", rest, "_:b2", False), ("_:b2", first, "4.5", True), ("_:b2", rest, nil, False)]
+    assert ("http://e/a", "http://e/none", nil, False) in got and ("http://e/x/y", "http://e/p", "http://e/x/#z", False) in got and ("http://e/x/y", "http://e/p", "_:k", False) in got
+    assert ("http://e/x/y", "http://e/p", "a\\n\tb", True) in got and ("http://e/x/y", "http://e/p", 'x "y" z', True) in got and ("http://e/x/y", "http://e/p", "true", True) in got
+    assert ("_:b3", "http://e/q", "_:b4", False) in got and ("_:b4", "http://e/r", "1", True) in got and ("_:b5", "http://e/s", "http://e/a.b", False) in got and ("_:b5", "http://e/s", "-2e3", True) in got and len(got) == 17
+    xml = b"""<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/"><rdf:Description rdf:about="http://e/a"><e:p><rdf:Description><e:q>x</e:q></rdf:Description></e:p>
+    <e:r rdf:nodeID="n"/><e:l rdf:parseType="Collection"><e:C rdf:about="http://e/c"/></e:l></rdf:Description><rdf:Description rdf:nodeID="n" e:s="y"/></rdf:RDF>"""
+    rows = parse_rdfxml(xml)
+    assert ("_:x0", "http://e/q", "x", True) in rows and ("http://e/a", "http://e/p", "_:x0", False) in rows and ("http://e/a", "http://e/r", "_:n", False) in rows and ("_:n", "http://e/s", "y", True) in rows and ("_:x1", rest, nil, False) in rows
+    lines = spark.createDataFrame([("_:b1 <http://e/p> _:b2 .",), ('<http://e/a> <http://e/p> "x\\\\n" . # c',), ("# nothing",), ("",), (None,), ("_:b2 <http://e/p> <http://e/z>.",)], "value string")
+    assert collect(read_ntriples(lines)) == sorted([("_:b1", "http://e/p", "_:b2", False), ("http://e/a", "http://e/p", "x\\n", True), ("_:b2", "http://e/p", "http://e/z", False)], key=str)
+
+
+def test_streams(spark, tmp_path):
+    from lodeweave.streaming import stream
+
+    path = str(tmp_path / "in")
+    spark.createDataFrame([("p", "a", "b"), ("p", "a", "b"), ("p", "c", "d")], "predicate string, head string, tail string").write.parquet(path)
+    got = {}
+    s = stream.incremental_clusters(stream.documents(spark, path, "predicate string, head string, tail string"))
+    q = s.writeStream.outputMode("update").foreachBatch(lambda df, _: got.update({tuple(r)[:3]: r["support"] for r in df.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert got == {("p", "a", "b"): 2, ("p", "c", "d"): 1}
 
 
 def test_greedy_equals_sequential(spark):
@@ -150,7 +201,7 @@ def test_rdf_round_trip(spark, tmp_path, collect):
     lines = graph.ntriples(rdf)
     assert collect(readers.read_ntriples(lines)) == collect(rdf)
     ttl = '@prefix ex: <http://e/> .\nex:a a ex:C ; ex:label "x \\"y\\"" , "z"@fr .\nex:b ex:p [ ex:q ex:r ] .\nex:b ex:n 5 .'
-    assert readers.parse_turtle(ttl) == [("http://e/a", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://e/C", False), ("http://e/a", "http://e/label", 'x "y"', True), ("http://e/a", "http://e/label", "z", True), ("http://e/b", "http://e/n", "5", True)]
+    assert readers.parse_turtle(ttl) == [("http://e/a", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://e/C", False), ("http://e/a", "http://e/label", 'x "y"', True), ("http://e/a", "http://e/label", "z", True), ("_:b0", "http://e/q", "http://e/r", False), ("http://e/b", "http://e/p", "_:b0", False), ("http://e/b", "http://e/n", "5", True)]
     run = writers.Run(spark, f"file://{tmp_path}/run")
     assert run.status() == "empty"
     did = run.run({"triples": lambda r: {"kg": t}, "serialization": lambda r: {"rdf": rdf}})
