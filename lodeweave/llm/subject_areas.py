@@ -33,8 +33,10 @@ MARGIN, SHARE, FUNCTIONS = 2.5, 0.2, 5
 
 _BREAK = re.compile(r"(?<=\w)[-‐]\s*\n\s*(?:[>|*#]+\s*)?(?=[a-zà-ÿ])")
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
-#: A line without marks that end or part a sentence, at the text's beginning or after an empty line.
-_HEADING = re.compile(r"(?:\A|(?<=\n\n)|(?<=\n \n))([^\W_][^\n.!?:;,]{0,98})(?=\n)")
+#: A line without marks that end or part a sentence, after an empty line (two are put before a text).
+_HEADING = re.compile(r"\n[ \t]?\n([^\W_][^\n.!?:;,]{0,98})(?=\n)")
+#: Posteriors below this are left out of the sums; they cannot move a document's share by more.
+LEAST_POSTERIOR = 1e-3
 _END = re.compile(r"[.!?][\"'»”)\]]*\s+(?=[\"«“(]?[A-ZÀ-Ý])")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _DOMAIN = re.compile(r"(?:https?://|www\.|@)(?:[\w-]+\.)*([\w-]+\.[a-z]{2,})", re.I)
@@ -69,7 +71,7 @@ def sentences(text: str, headings: list[str] | None = None) -> list[str]:
     at = 0
     plain = repaired(text)
     if headings is not None and "\n" in plain:
-        plain = _HEADING.sub(lambda m: seen.append(m[1]) or m[1] + "\x03", plain.replace("\x03", " "))
+        plain = _HEADING.sub(lambda m: seen.append(m[1]) or "\n" + m[1] + "\x03", "\n\n" + plain.replace("\x03", " "))
     parts = _END.split(re.sub(r"\s+", " ", plain))
     for i, s in enumerate(parts):
         if "\x03" in s:
@@ -297,7 +299,7 @@ def assign(documents: DataFrame, labels: DataFrame, areas: DataFrame, most: int
     codes_seen = np.array([r["pattern"] for r in found])
     digits = np.stack([(codes_seen // (k + 1) ** j) % (k + 1) for j in range(FUNCTIONS - 1, -1, -1)], axis=1)
     post = learn_accuracies(digits, np.array([r["n"] for r in found], float), k)
-    meant = [(int(p), codes[a - 1], float(post[i, a])) for i, p in enumerate(codes_seen) for a in range(1, k + 1) if post[i, a] > 1e-6]
+    meant = [(int(p), codes[a - 1], float(post[i, a])) for i, p in enumerate(codes_seen) for a in range(1, k + 1) if post[i, a] > LEAST_POSTERIOR]
     verdict = spark.createDataFrame(meant, "pattern bigint, area_code string, p double")
     per_area = votes.join(verdict, "pattern").groupBy("doc_id", "area_code").agg(F.sum(F.col("n") * F.col("p")).alias("n_area"))
     whole = votes.groupBy("doc_id").agg(F.sum("n").alias("n_sentences"))
