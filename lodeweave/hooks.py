@@ -45,16 +45,25 @@ class Hooks:
     def column(self, stage: str, prompt: Column, retries: int = 2, wait: float = 0.0) -> Column:
         hook = self._hooks.get(stage) or offline(stage)
 
-        @F.pandas_udf(T.StringType())
-        def call(prompts: pd.Series) -> pd.Series:
+        def failed(x: Exception) -> str:
+            return json.dumps({"error": str(x)[:500]})
+
+        def alone(text: str) -> str:
             for attempt in range(retries + 1):
                 try:
-                    return hook(prompts)
+                    return hook(pd.Series([text])).iloc[0]
                 except Exception as x:  # a model's failure is data
-                    error = json.dumps({"error": str(x)[:500]})
+                    error = failed(x)
                     if attempt < retries and wait:
                         time.sleep(wait)
-            return pd.Series([error] * len(prompts), dtype=object)
+            return error
+
+        @F.pandas_udf(T.StringType())
+        def call(prompts: pd.Series) -> pd.Series:
+            try:
+                return hook(prompts)
+            except Exception:  # find out which prompt it was; the others get their answers
+                return prompts.map(alone).astype(object)
 
         return call(prompt)
 
