@@ -73,7 +73,7 @@ def test_short_passages_and_halves(spark):
 def test_long_passage(spark):
     rnd = random.Random(9)
     p = [f"{rnd.choice(WORDS)}{rnd.randrange(99)}" for _ in range(6000)]
-    d = spark.createDataFrame([(1, " ".join(["zz"] * 50 + p[1500:4600])), (2, " ".join(p[1500:4300])), (3, " ".join(WORDS * 50))], "doc_id bigint, text string")
+    d = spark.createDataFrame([(1, " ".join(["zz"] * 50 + p[1500:4600])), (2, " ".join(p[1500:4150])), (3, " ".join(WORDS * 50))], "doc_id bigint, text string")
     e = spark.createDataFrame([(7, " ".join(p))], "item_id bigint, passage string")
     assert [tuple(r) for r in LE.find_leaks(d, e).collect()] == [(1, 7)]
 
