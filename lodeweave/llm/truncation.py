@@ -180,7 +180,7 @@ def find_truncated(texts: DataFrame) -> DataFrame:
         .when(n("w_on") + n("w_end") > 0, goes_on("w_on", "w_end"))
         .otherwise(n("g_end") > 0)
     )
-    judged = known.select("begin", "before", "word", verdict.alias("verdict"), unknown.alias("unknown"))
+    judged = known.select("begin", "before", "word", verdict.alias("verdict"), (unknown & (F.length("word") > 1)).alias("unknown"))
     flagged = salted_join(rows, judged, ["begin", "before", "word"], F.struct("row_id", "ev_pos"), ends.withColumnRenamed("open", "n"), how="left")
     flagged = flagged.join(limits, (F.col("tbl") == F.col("tb")) & F.col("source_code").eqNullSafe(F.col("sc")) & (F.col("size") == F.col("sz")), "left")
     cut_off = F.col("broken") | F.col("dangling") | F.coalesce("limit", F.lit(False)) | F.coalesce("verdict", F.lit(False)) & (~F.col("note") | F.col("unknown"))
