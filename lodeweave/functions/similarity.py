@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,6 +128,125 @@ def consolidated(a: str, b: str) -> float:
 
 consolidated_udf = _arrow(consolidated)
 
+#: Longest text whose positions fit in a machine word; longer ones are compared one by one.
+WORD = 64
+
+
+class Texts:
+    """Normalized texts (a-z, digits, spaces) as arrays, for ``consolidated`` over many pairs of them at once.
+
+    Pairs are arrays of places in the list.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.n = texts, len(texts)
+        self.size = np.array([len(t) for t in texts], dtype=np.int64)
+        self.words = [frozenset(t.split()) for t in texts]
+        self.n_words = np.array([len(w) for w in self.words], dtype=np.int64)
+        rows = np.arange(self.n)
+        letters, words = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32), np.array([x for w in self.words for x in w], dtype=object)
+        self.letters = _ones(np.repeat(rows, self.size), pd.factorize(letters)[0], self.n)
+        self.letters = np.column_stack((self.letters, (self.size == 0).astype(np.uint8)))  # the empty text equals itself
+        self.buckets = _ones(np.repeat(rows, self.n_words), pd.factorize(words)[0] % WORD, self.n)
+        self.letter_bits, self.bucket_bits = _machine_words(self.letters), _machine_words(self.buckets)
+        self.halves, self.counts = np.maximum(self.size, 1).astype(np.float32) / 2, np.maximum(self.n_words, 1).astype(np.float32)
+        short = min(WORD, int(self.size.max(initial=1)))
+        self.codes = np.array([t[:short].encode() for t in texts], dtype=f"S{short}").view(np.uint8).reshape(self.n, short)
+
+    def bounds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A table of what the similarity of each of ``a`` with each of ``b`` is at most, by their letters and (hashed) words."""
+        one = lambda m, x: m[x].astype(np.float32)
+        letters, words = one(self.letters, a) @ one(self.letters, b).T, one(self.buckets, a) @ one(self.buckets, b).T
+        letters /= self.halves[a, None] + self.halves[b]
+        words /= self.counts[a, None] + self.counts[b] - words
+        return np.maximum(letters, words, out=letters)
+
+    def bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same for pairs."""
+        letters, words = (sum(np.bitwise_count(w[a] & w[b]).astype(np.float32) for w in m) for m in (self.letter_bits, self.bucket_bits))
+        return np.maximum(letters / (self.halves[a] + self.halves[b]), words / (self.counts[a] + self.counts[b] - words))
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``consolidated`` of pairs."""
+        out = np.where(a == b, 1.0, 0.0)
+        todo = np.flatnonzero((a != b) & (self.size[a] > 0) & (self.size[b] > 0))
+        long = np.maximum(self.size[a[todo]], self.size[b[todo]])
+        for i in todo[long > WORD]:
+            out[i] = consolidated(self.texts[a[i]], self.texts[b[i]])
+        todo = todo[np.argsort(long, kind="stable")][: int((long <= WORD).sum())]
+        for at in range(0, len(todo), 8192):
+            some = todo[at : at + 8192]
+            x, y = a[some], b[some]
+            both = np.array([len(self.words[i] & self.words[j]) for i, j in zip(x.tolist(), y.tolist())], dtype=np.int64)
+            matched = _matched(self.codes[x], self.codes[y], self.size[x], self.size[y])
+            out[some] = np.maximum(both / (self.n_words[x] + self.n_words[y] - both), 2.0 * matched / (self.size[x] + self.size[y]))
+        return out
+
+
+def _ones(rows: np.ndarray, parts: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows with a 1 for the first, second, .. of each of their parts, so a product of two rows counts what both have."""
+    kinds = int(parts.max(initial=-1)) + 1
+    many = np.bincount(rows * kinds + parts, minlength=n * kinds).reshape(n, kinds)
+    most = many.max(axis=0, initial=0)
+    return np.concatenate([many[:, most > k] > k for k in range(max(1, int(most.max(initial=0))))], axis=1).astype(np.uint8, order="C")
+
+
+def _machine_words(m: np.ndarray) -> list[np.ndarray]:
+    """The columns of a table of zeros and ones, 64 to a word."""
+    packed = np.ascontiguousarray(np.packbits(np.pad(m, ((0, 0), (0, -m.shape[1] % WORD or WORD * (not m.shape[1])))), axis=1))
+    return list(np.ascontiguousarray(packed.view(np.uint64).T))
+
+
+def _matched(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """How many letters difflib matches in each pair of rows: the longest common block (the first in ``a``, then in ``b``), then those on both sides of it.
+
+    A bit of ``same[pair, diagonal]`` says that the letter of ``a`` at this place equals the one of ``b`` on this diagonal.
+    """
+    wa, wb = int(la.max()), int(lb.max())
+    kind = np.uint32 if wa <= 32 else np.uint64
+    a, b = a[:, :wa], np.where(np.arange(wb) < lb[:, None], b[:, :wb], 255)
+    same = np.zeros((len(a), wa + wb - 1), dtype=kind)
+    for i in range(wa):
+        same[:, wa - 1 - i : wa - 1 - i + wb] |= (a[:, i : i + 1] == b).astype(kind) << kind(i)
+    shift = np.arange(wa + wb - 1) - (wa - 1)
+    below = np.array([(1 << i) - 1 for i in range(wa + 1)], dtype=kind)  # the bits before a place
+    total, row, at = np.zeros(len(a), dtype=np.int64), np.arange(len(a)), [np.zeros_like(la), la, np.zeros_like(lb), lb]
+    first = True
+    while len(row):
+        a0, a1, b0, b1 = at
+        runs = same[row]
+        if not first:
+            lo, hi = np.maximum(a0[:, None], b0[:, None] - shift), np.minimum(a1[:, None], b1[:, None] - shift)
+            runs &= np.where(lo < hi, below[hi.clip(0, wa)] & ~below[lo.clip(0, wa)], kind(0))
+        first = False
+        open_, starts = np.arange(len(row)), runs
+        size, i, j = (np.zeros(len(row), dtype=np.int64) for _ in range(3))
+        k = 0
+        while len(open_):
+            k += 1
+            on = starts.any(axis=1)
+            ended = open_[~on]
+            if k > 1 and len(ended):
+                _place(ended, before[~on], shift, size, i, j, k - 1)
+            open_, before = open_[on], starts[on]
+            runs = runs[on] if not on.all() else runs
+            starts = before & (runs >> kind(k)) if k < wa else np.zeros_like(before)
+        hit = size > 0
+        total += np.bincount(row[hit], size[hit], len(total)).astype(np.int64)
+        left, right = hit & (i > a0) & (j > b0), hit & (i + size < a1) & (j + size < b1)
+        at = [np.concatenate(x) for x in ((a0[left], (i + size)[right]), (i[left], a1[right]), (b0[left], (j + size)[right]), (j[left], b1[right]))]
+        row = np.concatenate((row[left], row[right]))
+    return total
+
+
+def _place(rows: np.ndarray, starts: np.ndarray, shift: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> None:
+    """Notes the first of the longest blocks, of ``k`` letters, of some rows."""
+    every = np.bitwise_or.reduce(starts, axis=1)
+    low = every & (~every + every.dtype.type(1))
+    diagonal = ((starts & low[:, None]) != 0).argmax(axis=1)
+    size[rows], i[rows] = k, np.log2(low.astype(np.float64)).astype(np.int64)
+    j[rows] = i[rows] + shift[diagonal]
+
 
 def blended(a: str, b: str, stop_words: frozenset[str] = frozenset()) -> float:
     """The highest of word overlap, containment, trigram overlap and difflib's ratio; containment of short texts that look different counts 0.65 at most."""

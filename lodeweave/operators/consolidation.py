@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,41 +66,131 @@ def select_clusters(scored: DataFrame, budget: int | None = 226, least: float |
 def fuzzy_clusters(records: DataFrame, threshold: float = 0.86) -> DataFrame:
     """Records with the cluster each one joins, in their order: one with its key, else the most similar of its predicate, else a new one.
 
-    Predicates do not meet, so each is one group. Only distinct keys, in the order of their first record,
-    reach the group function; the records join its answer.
+    Predicates do not meet, so each is decided by itself. Only distinct keys, in the order of their first record,
+    reach the function; the records join its answer.
     """
     r = records.select("*", N.consolidation(F.col("head")).alias("h"), N.relation(F.col("predicate")).alias("p"), N.consolidation(F.col("tail")).alias("t"))
     keys = r.groupBy("p", "h", "t").agg(F.min("ord").alias("first"))
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: list[tuple[str, str, int]] = []
-        out = []
-        for h, t, first in pdf.sort_values("first")[["h", "t", "first"]].itertuples(index=False):
-            best, at = 0.0, None
-            for ch, ct, c in heads:
-                if 0.52 * min(1.0, _bound(h, ch)) + 0.42 * min(1.0, _bound(t, ct)) + 0.06 <= max(best, threshold - 1e-12):
-                    continue
-                s = 0.52 * S.consolidated(h, ch) + 0.42 * S.consolidated(t, ct) + 0.06
-                if s > best:
-                    best, at = s, c
-            if at is None or best < threshold:
-                at = first
-                heads.append((h, t, first))
-            out.append((pdf["p"].iloc[0], h, t, at))
-        return pd.DataFrame(out, columns=["p", "h", "t", "cluster"])
-
-    got = keys.groupBy("p").applyInPandas(cluster, f"p string, h string, t string, cluster {keys.schema['first'].dataType.simpleString()}")
+    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k in _by_predicate(batches):
+            yield k[["p", "h", "t"]].assign(cluster=k["first"].to_numpy()[founders(k["h"].tolist(), k["t"].tolist(), threshold)])
+
+    # A number given is kept: by their bytes the predicates would end up in very few tasks.
+    tasks = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keys.repartition(tasks, "p").sortWithinPartitions("p", "first", "h", "t")
+    got = ordered.mapInPandas(cluster, f"p string, h string, t string, cluster {keys.schema['first'].dataType.simpleString()}")
     return r.join(got, ["p", "h", "t"]).drop("h", "t")
 
 
-def _bound(a: str, b: str) -> float:
-    """No similarity of two texts is above this, by their lengths and letters; cheap to get."""
-    from collections import Counter
+def _by_predicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each predicate together; they come sorted by it."""
+    parts: list[pd.DataFrame] = []
+    for b in batches:
+        for p, rows in b.groupby("p", sort=False):
+            if parts and parts[0]["p"].iloc[0] != p:
+                yield pd.concat(parts, ignore_index=True)
+                parts = []
+            parts.append(rows)
+    if parts:
+        yield pd.concat(parts, ignore_index=True)
+
+
+#: Keys decided at once, at least; keys and labels compared in one table; pairs held at once.
+BLOCK, ROWS, COLUMNS, PAIRS = 1000, 512, 8192, 1_000_000
+#: Bounds are single precision.
+SLACK = 1e-5
 
-    if not a or not b:
-        return float(a == b)
-    letters = 2.0 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b))
-    return max(letters, 1.0 if set(a.split()) & set(b.split()) else 0.0)
+
+def founders(heads: list[str], tails: list[str], threshold: float = 0.86) -> np.ndarray:
+    """For each key of one predicate, in order, the place of the key that founded its cluster.
+
+    A key joins the most similar founder before it, of equal ones the first, if that is similar enough, else it founds
+    a cluster. Blocks of keys are compared with the founders so far and with each other; only the few pairs
+    that are similar enough are then gone through in order.
+    """
+    places = [pd.factorize(np.array(x, dtype=object)) for x in (heads, tails)]
+    sides = [(at, S.Texts(list(names))) for at, names in places]
+    of, first = np.arange(len(heads)), np.zeros(0, dtype=np.int64)
+    start = 0
+    while start < len(heads):
+        block = np.arange(start, min(len(heads), start + max(BLOCK, len(first) // 2)))
+        near: dict[int, list[tuple[float, int]]] = {}
+        for i, j, s in _similar(block, np.concatenate((first, block)), sides, threshold):
+            for x, y, z in zip(i.tolist(), j.tolist(), s.tolist()):
+                near.setdefault(x, []).append((-z, y))
+        for i in sorted(near):
+            of[i] = min(((s, j) for s, j in near[i] if of[j] == j), default=(0.0, i))[1]
+        first = np.concatenate((first, block[of[block] == block]))
+        start = int(block[-1]) + 1
+    return of
+
+
+def _score(head, tail):
+    return 0.52 * head + 0.42 * tail + 0.06
+
+
+def _similar(block: np.ndarray, known: np.ndarray, sides: list, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a key of the block and an earlier known one whose similarity is at least ``threshold``, with it.
+
+    Of the founders before the block only the best one of a key is kept: nothing can undo them.
+    """
+    (h, heads), (t, tails) = sides
+    least = (threshold - SLACK - _score(0.0, 1.0)) / 0.52  # a head less similar than this is too far whatever the tails are
+    block, known = block[np.argsort(h[block], kind="stable")], known[np.argsort(h[known], kind="stable")]
+    names, begins, many = np.unique(h[known], return_index=True, return_counts=True)
+    held: list[tuple] = []
+    for c in range(0, len(names), COLUMNS):
+        for b in range(0, len(block), ROWS):
+            rows = block[b : b + ROWS]
+            own, place = np.unique(h[rows], return_inverse=True)
+            most = heads.bounds(own, names[c : c + COLUMNS])
+            x, y = np.nonzero((most >= least)[place])
+            for lo, hi in _pieces(many[c + y]):
+                n = many[c + y[lo:hi]]
+                at = np.repeat(np.arange(lo, hi), n)
+                i, j = rows[x[at]], known[np.repeat(begins[c + y[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(len(at))]
+                before = j < i
+                i, j, ends = i[before], j[before], most[place[x[at]], y[at]][before]
+                good = _score(ends, tails.bound(t[i], t[j])) >= threshold - SLACK
+                held.append((i[good], j[good]))
+                if sum(len(p[0]) for p in held) > PAIRS:
+                    yield from _exact(held, block.min(), sides, threshold)
+                    held = []
+    yield from _exact(held, block.min(), sides, threshold)
+
+
+def _pieces(many: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that stand for not much over ``PAIRS`` pairs together."""
+    ends, lo = np.cumsum(many), 0
+    while lo < len(many):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _exact(held: list[tuple], start: int, sides: list, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    if not held:
+        return
+    i, j = (np.concatenate(x) for x in zip(*held))
+    (h, heads), (t, tails) = sides
+    head = _once(heads, h[i], h[j])
+    good = _score(head, tails.bound(t[i], t[j])) >= threshold - SLACK
+    i, j, head = i[good], j[good], head[good]
+    s = _score(head, _once(tails, t[i], t[j]))
+    good = s >= threshold
+    i, j, s = i[good], j[good], s[good]
+    order = np.lexsort((j, -s, j >= start, i))
+    i, j, s = i[order], j[order], s[order]
+    again = np.zeros(len(i), dtype=bool)
+    again[1:] = (i[1:] == i[:-1]) & (j[1:] < start)
+    yield i[~again], j[~again], s[~again]
+
+
+def _once(texts: S.Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarity of pairs, each different pair compared once."""
+    pairs, at = np.unique(a * texts.n + b, return_inverse=True)
+    return texts.near(pairs // texts.n, pairs % texts.n)[at]
 
 
 def up_to(records: DataFrame, stops: DataFrame) -> DataFrame:
